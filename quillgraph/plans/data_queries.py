@@ -84,9 +84,9 @@ FROM ({_PAIRS}) WHERE term IS NOT NULL GROUP BY 1, 2""",
     "p6_valid_triples": f"WITH {_PARSED} SELECT DISTINCT file_id, line_no, s, p, o FROM cases WHERE valid",
     "p7_hierarchy": f"""
 WITH RECURSIVE {_NODES},
-keys(node_key, at) AS (
+keys(node_key, trail) AS (
   SELECT node_key, [node_key] FROM tree WHERE parent_key IS NULL
-  UNION ALL SELECT t.node_key, list_append(k.at, t.node_key) FROM tree t JOIN keys k ON t.parent_key = k.node_key),
+  UNION ALL SELECT t.node_key, list_append(k.trail, t.node_key) FROM tree t JOIN keys k ON t.parent_key = k.node_key),
 above(node_key, anc, dist) AS (
   SELECT node_key, node_key, CAST(0 AS BIGINT) FROM walk
   UNION ALL SELECT a.node_key, t.parent_key, a.dist + 1 FROM above a JOIN tree t ON a.anc = t.node_key WHERE t.parent_key IS NOT NULL),
@@ -95,7 +95,7 @@ ring(node_key, anc) AS (
   SELECT node_key, parent_key FROM tree WHERE parent_key IS NOT NULL
   UNION SELECT r.node_key, t.parent_key FROM ring r JOIN tree t ON r.anc = t.node_key WHERE t.parent_key IS NOT NULL),
 cyc AS (SELECT node_key FROM ring WHERE node_key = anc),
-pre AS (SELECT node_key, row_number() OVER (ORDER BY at) AS range_start FROM keys)
+pre AS (SELECT node_key, row_number() OVER (ORDER BY trail) AS range_start FROM keys)
 SELECT t.node_key, t.parent_key, w.root_key, w.depth, b.height, b.size - 1 AS n_descendants, p.range_start, p.range_start + b.size AS range_end, w.path,
        CASE WHEN c.node_key IS NOT NULL THEN 'cycle' WHEN w.node_key IS NULL THEN 'below_cycle' WHEN t.parent_key IS NOT NULL THEN 'node'
             WHEN t.had_parent THEN 'orphan' ELSE 'top' END AS status,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import distinct_runs, pair_counts
+from quillgraph.llm import distinct_runs, heavy_hitters, pair_counts, pieces
 from quillgraph.sources.tables import table
 
 
@@ -43,7 +43,34 @@ def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[0]
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    out = pieces.split_entries(table(spark, d, "file_infos"), table(spark, d, "ntriples_lines"))
+    return out.withColumn("piece_no", F.col("piece_no").cast("int"))
+
+
+def p3_bisection(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.bisect_entries(table(spark, d, "file_infos"), table(spark, d, "ntriples_lines"))
+
+
+_COLUMNS = {"occurrences": "term", "dict_pairs": "dict_value"}
+
+
+def _p4(spark: SparkSession, d: str, share: int) -> DataFrame:
+    parts = [heavy_hitters.frequent_terms(table(spark, d, t), c, share).withColumn("src_table", F.lit(t)) for t, c in _COLUMNS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d, 250).select("src_table", "term")
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d, 250)
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence, p3_found, p3_bisection, p4_found, p4_counts)
+}
 
 _P1 = """
 WITH t AS (SELECT CAST(seen_at AS DATE) AS day, graph_name, p, s, o FROM triples)
@@ -65,7 +92,13 @@ pair AS (SELECT a.item AS item_a, b.item AS item_b, CAST(sum(a.w) AS BIGINT) AS
 full_pair AS (SELECT p.*, CAST(x.n AS BIGINT) AS n_a, CAST(y.n AS BIGINT) AS n_b, t.n AS n FROM pair p JOIN one x ON x.item = item_a JOIN one y ON y.item = item_b, total t)
 """
 
+_P4 = " UNION ALL ".join(
+    f"SELECT '{t}' AS src_table, {c} AS term FROM {t} WHERE {c} IS NOT NULL GROUP BY 2 HAVING count(*) * 250 >= (SELECT count({c}) FROM {t})"
+    for t, c in _COLUMNS.items()
+)
+
 ORACLE = {
+    "p4_found": _P4,
     "p1_distinct_counts": _P1,
     "p1_merged_loads": _P1,
     "p2_found": _P2 + "SELECT item_a, item_b FROM full_pair WHERE n_baskets >= 4 AND 200 * n_ab >= n AND n_ab * n >= 4 * CAST(n_a AS DOUBLE) * n_b",

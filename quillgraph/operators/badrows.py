@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.sources import ntriples as nt
 
-#: Lines of a block. Larger blocks are parsed again more often, smaller ones cost more calls.
-BLOCK = 128
+#: Lines that one vectorised call parses.
+BLOCK = 4096
 
 _SPACE = re.compile(nt.SPACE)
 _IRI, _BLANK, _LITERAL = (re.compile(x) for x in (nt.IRI, nt.BLANK, nt.LITERAL))
+_XSD_END = r"\^\^<http://www\.w3\.org/2001/XMLSchema#string>\z"
 _BAD_ESCAPE = re.compile(r"\\(?:u(?![0-9A-Fa-f]{4})|U(?![0-9A-Fa-f]{8}))")
 _BAD_STRING_ESCAPE = re.compile(r"\\(?![tbnrf\"'\\uU])")
 _FORBIDDEN = re.compile(r"[\x00-\x20<\"{}|^]")
@@ -71,57 +73,57 @@ def diagnose(line: str) -> str:
     return ""
 
 
-def _parse_block(lines: pa.Array) -> tuple[pa.StructArray, bool]:
-    """A block at once: s, p, o, and whether all of its lines are valid."""
+def _parse_block(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """A block at once: s, p and o, and for each line whether it is valid."""
     got = pc.extract_regex(lines, nt.LINE)
-    if got.null_count:
-        return got, False
-    o = got.field("o")
-    typed = pc.ends_with(o, nt.XSD_STRING)
-    if pc.any(typed).as_py():
-        o = pc.replace_substring_regex(o, pattern=re.escape(nt.XSD_STRING).replace("\\#", "#") + r"\z", replacement="")
-    cols = [got.field("s"), got.field("p"), o]
-    fits = all(pc.max(pc.binary_length(c)).as_py() <= nt.MAX_TERM_BYTES for c in cols)
-    return pa.StructArray.from_arrays(cols, ["s", "p", "o"]), fits
-
-
-def _bisect(lines: pa.Array, start: int, good: list, bad: list) -> None:
-    got, valid = _parse_block(lines)
-    if valid:
-        good.append((start, got))
-    elif len(lines) == 1:
-        bad.append((start, diagnose(lines[0].as_py()) or "not a triple"))
-    else:
-        half = len(lines) // 2
-        _bisect(lines.slice(0, half), start, good, bad)
-        _bisect(lines.slice(half), start + half, good, bad)
+    valid = got.is_valid()
+    s, p, o = (pc.if_else(valid, got.field(k), pa.scalar(None, pa.string())) for k in "spo")
+    if pc.any(pc.ends_with(o, nt.XSD_STRING)).as_py():
+        o = pc.replace_substring_regex(o, pattern=_XSD_END, replacement="")
+    fits = valid.to_numpy(zero_copy_only=False).copy()
+    for c in (s, p, o):
+        if (pc.max(pc.binary_length(c)).as_py() or 0) > nt.MAX_TERM_BYTES:
+            fits &= pc.less_equal(pc.binary_length(c), nt.MAX_TERM_BYTES).fill_null(False).to_numpy(zero_copy_only=False)
+    return [s, p, o], fits
+
+
+def _bisect(fits: np.ndarray, start: int, bad: list[int]) -> None:
+    """Positions of the bad records: halves without any are left at once."""
+    if fits.all():
+        return
+    if len(fits) == 1:
+        bad.append(start)
+        return
+    half = len(fits) // 2
+    _bisect(fits[:half], start, bad)
+    _bisect(fits[half:], start + half, bad)
 
 
 def parse_batch(lines: pa.Array, block: int = BLOCK) -> pa.StructArray:
     """(s, p, o, reason) for each line; reason is null for valid lines, else the terms are."""
-    good: list = []
-    bad: list = []
+    parts: list[list[pa.Array]] = []
+    reasons: list[str | None] = [None] * len(lines)
     for at in range(0, len(lines), block):
-        _bisect(lines.slice(at, block), at, good, bad)
-    whole = pa.StructArray.from_arrays([pa.array([], pa.string())] * 3, ["s", "p", "o"]) if not good else None
-    parts = whole if whole is not None else pa.concat_arrays([g for _, g in good])
-    order = pa.array([i for at, g in good for i in range(at, at + len(g))] or [], pa.int64())
-    back: list = [None] * len(lines)
-    for k, i in enumerate(order.to_pylist()):
-        back[i] = k
-    idx = pa.array(back, pa.int64())
-    reasons: list = [None] * len(lines)
-    for i, why in bad:
-        reasons[i] = why
-    return pa.StructArray.from_arrays([parts.field(k).take(idx) for k in range(3)] + [pa.array(reasons, pa.string())], ["s", "p", "o", "reason"])
+        part = lines.slice(at, block)
+        cols, fits = _parse_block(part)
+        bad: list[int] = []
+        _bisect(fits, 0, bad)
+        for i in bad:
+            reasons[at + i] = diagnose(part[i].as_py()) or "not a triple"
+        if bad:
+            keep = pa.array(fits)
+            cols = [pc.if_else(keep, c, pa.scalar(None, pa.string())) for c in cols]
+        parts.append(cols)
+    whole = [pa.concat_arrays([c[k] for c in parts]) if parts else pa.array([], pa.string()) for k in range(3)]
+    return pa.StructArray.from_arrays([*whole, pa.array(reasons, pa.string())], ["s", "p", "o", "reason"])
 
 
 def split_rows(df: DataFrame, keys: list[str], column: str = "line", block: int = BLOCK) -> DataFrame:
     """Each data line of ``df`` with (s, p, o) or, where it doesn't parse, ``reason``; plus the columns ``keys``.
 
-    The lines are read in Arrow batches and parsed in blocks of ``block`` by one vectorised call; a block in which any
-    line fails is halved until the bad lines stand alone, and only those are looked at by the strict parser that names
-    the reason. No shuffle: the rows stay where they were read. Terms must have 1 to 16382 bytes.
+    The lines are read in Arrow batches and parsed in blocks of ``block`` by one vectorised call, which also tells its
+    failures; a block with any is halved until the bad lines stand alone (no line is parsed by it twice), and only those
+    are looked at by the strict parser that names the reason. No shuffle: the rows stay where they were read. Terms must have 1 to 16382 bytes.
 
     Null, empty and comment lines are no data and give no row. A line of any length is handled; repeated rows come out
     repeatedly (each line is judged for itself; see :func:`rejected` and :func:`accepted`). Keys may be null, and may

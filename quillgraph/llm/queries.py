@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import distinct_runs, heavy_hitters, pair_counts, pieces
+from quillgraph.llm import distinct_runs, heavy_hitters, leaks, mixing, pair_counts, pieces
 from quillgraph.sources.tables import table
 
 
@@ -68,8 +68,21 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d, 250)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mix_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_mix_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence, p3_found, p3_bisection, p4_found, p4_counts)
+    f.__name__: f
+    for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence, p3_found, p3_bisection, p4_found, p4_counts, p8_found, p9_mix_sample, p9_mix_report)
 }
 
 _P1 = """

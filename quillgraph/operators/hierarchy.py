@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialize, parallelism
+from quillgraph.operators.prefix import prefix_sums
+from quillgraph.session import materialize
 
 #: Pointers fewer than this are joined plainly: even all of them at one key are a small task.
 FEW = 50_000
@@ -102,26 +103,8 @@ def climb(tree: DataFrame) -> Jumps:
     return Jumps(now, rounds, left.select(F.col("anc").alias("node")).distinct())
 
 
-def _sibling_offsets(tree: DataFrame) -> DataFrame:
-    """(node, offset): 1 + the sizes of the siblings before it, in the order of keys; tops count as siblings.
-
-    A parent may have most of the nodes as children. So siblings are cut into ranges, summed within each range, and
-    the totals of the few ranges a parent spans are summed before it.
-    """
-    n = parallelism(tree.sparkSession)
-    ranged = materialize(tree.select("node", "parent", "size").repartitionByRange(n, F.col("parent").asc_nulls_first(), "node").withColumn("part", F.spark_partition_id()))
-    own = Window.partitionBy("parent", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("parent", "part").agg(F.sum("size").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    local = ranged.withColumn("local", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    base = totals.where(F.col("base") > 0).select(F.col("parent").alias("p2"), F.col("part").alias("part2"), "base")
-    # At most one (parent, range) pair of each range continues a parent of the range before: n rows.
-    out = local.join(F.broadcast(base), F.col("parent").eqNullSafe(F.col("p2")) & (F.col("part") == F.col("part2")), "left")
-    return out.select("node", (F.lit(1) + F.col("local") + F.coalesce("base", F.lit(0))).alias("offset"))
-
-
 def hierarchy(
-    df: DataFrame, key: str, parent: str, *, recorded: str | None = None, with_path: bool = True, separator: str = "/"
+    df: DataFrame, key: str, parent: str, *, recorded: str | None = None, with_path: bool = True, separator: str = "/", deepest_first: bool = False
 ) -> DataFrame:
     """For each node: (node_key, parent_key, root_key, depth, height, n_descendants, range_start, range_end, path, status).
 
@@ -144,8 +127,9 @@ def hierarchy(
     base = materialize(tree.join(stuck, "node").join(on_cycle, "node", "left"))
     sound = base.where(~F.col("stuck"))
     name = F.col("node").cast("string")
-    now = _sibling_offsets(sound).join(sound.select("node", "root"), "node").withColumn("path", name if with_path else F.lit(""))
-    now = materialize(now.select("node", "offset", "path"))
+    siblings = [F.col("height").desc(), F.col("node")] if deepest_first else [F.col("node")]
+    laid = prefix_sums(sound.select("node", "parent", "size", "height"), "parent", siblings, "size", "before")
+    now = materialize(laid.select("node", (F.col("before") + 1).alias("offset"), (name if with_path else F.lit("")).alias("path")))
     for pointers, n in jumps.rounds:
         far = now.select(F.col("node").alias("anc"), F.col("offset").alias("offset2"), F.col("path").alias("path2"))
         more = lookup(pointers, far, "anc", n).drop("anc").where(F.col("offset2").isNotNull())

@@ -157,7 +157,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     spark = docs.sparkSession
     plan = spark.createDataFrame(stretches, "pattern array<string>, copy int, source string, a long, z long")
     order = sized.withColumn("place", F.concat(F.xxhash64("key", F.lit(seed)).cast("string"), "key")).withColumn("group", F.array_join("pattern", "\u0001"))
-    laid = prefix_sums(order, "group", "place", "n_tokens", "begin").withColumn("middle", F.col("begin") + F.col("n_tokens") / 2)
+    laid = prefix_sums(order, "group", [F.col("place")], "n_tokens", "begin").withColumn("middle", F.col("begin") + F.col("n_tokens") / 2)
     taken = laid.join(F.broadcast(plan.withColumn("group", F.array_join("pattern", "\u0001")).drop("pattern")), "group").where((F.col("middle") >= F.col("a")) & (F.col("middle") < F.col("z")))
     sample = taken.groupBy(F.col("ids")[F.col("source")].alias("doc_id"), "source", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     sample = materialize(sample.select("doc_id", "source", "copies", "n_tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import distinct_runs, heavy_hitters, leaks, mixing, pair_counts, pieces
+from quillgraph.llm import distinct_runs, garbled, heavy_hitters, leaks, mixing, pair_counts, pieces
 from quillgraph.sources.tables import table
 
 
@@ -80,9 +80,17 @@ def p9_mix_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence, p3_found, p3_bisection, p4_found, p4_counts, p8_found, p9_mix_sample, p9_mix_report)
+    for f in (p1_distinct_counts, p1_merged_loads, p2_found, p2_cooccurrence, p3_found, p3_bisection, p4_found, p4_counts, p8_found, p9_mix_sample, p9_mix_report, p10_found, p10_restored)
 }
 
 _P1 = """

@@ -168,22 +168,32 @@ def cost(word: str) -> float:
     return total
 
 
+class _Page(dict):
+    """Characters of a one-byte code page to their bytes; what the page doesn't have is 0.
+
+    Bytes the page doesn't define stand for the control characters of the same number.
+    """
+
+    def __init__(self, page: str) -> None:
+        super().__init__({i: i for i in range(128)})
+        for b in range(0x80, 0x100):
+            self[ord(bytes([b]).decode(page, "ignore") or chr(b))] = b
+
+    def __missing__(self, _: int) -> int:
+        return 0
+
+
+_PAGES = {p: _Page(p) for p in {*MISREAD_UTF8, *READ_AS} - _MULTIBYTE}
+
+
 def _encode(text: str, page: str) -> bytes | None:
-    """Bytes of a text in a code page; bytes the page doesn't define stand for the control characters of the same number."""
+    """Bytes of a text in a code page, 0 for what a one-byte page doesn't have; None if another page hasn't all of it."""
+    if page not in _MULTIBYTE:
+        return text.translate(_PAGES[page]).encode("latin_1")
     try:
         return text.encode(page)
     except UnicodeEncodeError:
-        if page in _MULTIBYTE:
-            return None
-    out = bytearray()
-    for c in text:
-        try:
-            out += c.encode(page)
-        except UnicodeEncodeError:
-            if not 0x80 <= ord(c) < 0xA0:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+        return None
 
 
 def _decode(data: bytes, page: str) -> str | None:
@@ -193,16 +203,6 @@ def _decode(data: bytes, page: str) -> str | None:
         return None
 
 
-def _parts_as_utf8(run: str, page: str) -> str:
-    """A run of which only parts are UTF-8 read by a page: those parts read aright, the rest as it is."""
-    codes = [b if b and len(b) == 1 and b[0] >= 0x80 else b"\0" for b in (_encode(c, page) for c in run)]
-    out, end = [], 0
-    for m in _SEQUENCES.finditer(b"".join(codes)):
-        out += [run[end : m.start()], m[0].decode()]
-        end = m.end()
-    return "".join([*out, run[end:]])
-
-
 def _as_utf8(word: str, page: str) -> str | None:
     """The word with its runs of other than ASCII characters read as UTF-8, those that are; None if none is."""
     if page in _MULTIBYTE:
@@ -211,13 +211,20 @@ def _as_utf8(word: str, page: str) -> str | None:
     changed = False
 
     def read(m) -> str:
+        """The run if it is UTF-8 read by the page, or else those parts of it that are."""
         nonlocal changed
         data = _encode(m[0], page)
-        out = _decode(data, "utf-8") if data else None
-        if out is None:
-            out = _parts_as_utf8(m[0], page)
-        changed |= out != m[0]
-        return out
+        if not _SEQUENCES.search(data):
+            return m[0]
+        changed = True
+        out = _decode(data, "utf-8") if 0 not in data else None
+        if out is not None:
+            return out
+        parts, end = [], 0
+        for x in _SEQUENCES.finditer(data):
+            parts += [m[0][end : x.start()], x[0].decode()]
+            end = x.end()
+        return "".join([*parts, m[0][end:]])
 
     out = _RUN.sub(read, word)
     return out if changed else None
@@ -226,14 +233,14 @@ def _as_utf8(word: str, page: str) -> str | None:
 def _repage(word: str, read_as: str, written_as: str) -> str | None:
     if written_as in _MULTIBYTE:
         data = _encode(word, read_as)
-        return _decode(data, written_as) if data else None
+        return _decode(data, written_as) if data and 0 not in data else None
     out = []
     for c in word:
         if ord(c) < 128:
             out.append(c)
             continue
         data = _encode(c, read_as)
-        out.append(_decode(data, written_as) or c if data else c)
+        out.append(_decode(data, written_as) or c if data != b"\0" else c)
     return "".join(out)
 
 
@@ -282,6 +289,8 @@ def search(word: str) -> tuple[str, float, str, bool]:
             c, _, at, ways = heapq.heappop(heap)
             if c < best[0] - 1e-9:
                 best = (c, at, ways)
+            elif best[2] and c > best[0] + 1.5:
+                break  # all that is left is far worse
             if len(ways) >= MAX_STEPS or (c - STEP_COST * len(ways) <= 0 and ways and at.isascii()):
                 continue
             expanded += 1
@@ -325,6 +334,7 @@ def _step(word: str, change: str) -> str | None:
     return _as_utf8(word, page) if written == "utf-8" else _repage(word, page, written)
 
 
+@lru_cache(maxsize=200_000)
 def _apply(word: str, ways: str) -> str | None:
     for change in ways.split(" + "):
         new = _step(word, change)

@@ -43,7 +43,7 @@ def popular_threshold(n_terms: int, size: int, counters: DataFrame, k: int) -> D
 
 def top_k_sketch(occurrences: DataFrame, k: int, max_items: int = 10_000) -> DataFrame:
     """(term, estimate): the k most frequent terms by a bounded sketch that merges by partial aggregation."""
-    got = occurrences.where(F.col("term").isNotNull()).agg(F.approx_top_k("term", k, max_items).alias("t"))
+    got = occurrences.where(F.col("term").isNotNull()).agg(F.expr(f"approx_top_k(term, {int(k)}, {int(max_items)})").alias("t"))
     return got.select(F.explode("t").alias("t")).select(F.col("t.item").alias("term"), F.col("t.count").alias("estimate"))
 
 

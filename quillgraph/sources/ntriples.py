@@ -14,15 +14,23 @@ SPACE = r"[ \t\n\x0B\f\r]*"
 _HEX = r"(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
 _PLAIN = r"[^\x00-\x20<>\"{}|^\\]"
 _PLAIN_NO_U = r"[^\x00-\x20<>\"{}|^\\uU]"
-IRI = rf"<(?:{_PLAIN}|\\+(?:{_PLAIN_NO_U}|{_HEX}))*\\*>"
+
+
+def _grammar(star: str) -> tuple[str, str, str]:
+    """IRI, literal and whole line; ``star`` repeats the parts of a term."""
+    iri = rf"<(?:{_PLAIN}|\\+(?:{_PLAIN_NO_U}|{_HEX})){star}\\*>"
+    literal = rf"\"(?:[^\"\\]|\\(?:[tbnrf\"'\\]|{_HEX})){star}\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{iri})?"
+    line = rf"\A{SPACE}(?P<s>{iri}|{BLANK}){SPACE}(?P<p>{iri}){SPACE}(?P<o>{literal}|{iri}|{BLANK}){SPACE}(?:\.{SPACE})?\z"
+    return iri, literal, line
+
+
 BLANK = r"_:[*\-_:A-Za-z0-9]*"
-LITERAL = rf"\"(?:[^\"\\]|\\(?:[tbnrf\"'\\]|{_HEX}))*\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?"
 XSD_STRING = "^^<http://www.w3.org/2001/XMLSchema#string>"
 MAX_TERM_BYTES = 16382
 
-#: The whole line; named groups for engines that return a struct of them.
-LINE = rf"\A{SPACE}(?P<s>{IRI}|{BLANK}){SPACE}(?P<p>{IRI}){SPACE}(?P<o>{LITERAL}|{IRI}|{BLANK}){SPACE}(?:\.{SPACE})?\z"
-_JVM_LINE = LINE.replace("?P<", "?<")
+IRI, LITERAL, LINE = _grammar("*")
+#: For the JVM: repetition that never gives back, which it runs in a loop and not by recursion (terms may be long).
+_JVM_LINE = _grammar("*+")[2].replace("?P<", "?<")
 
 
 def is_data(line: Column) -> Column:

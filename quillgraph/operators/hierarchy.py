@@ -69,19 +69,20 @@ def climb(tree: DataFrame) -> Jumps:
 
     After round k, ``anc`` of a node is its ancestor 2^k levels up (null beyond the top) and its size counts the
     descendants less than 2^k levels down: those 2^k to 2^(k+1)-1 levels down are the ones counted at the nodes whose
-    ``anc`` it is. So trees of depth d take log2(d) rounds rather than d. A node that still has an ancestor when 2^k
-    reaches the number of such nodes is never processed: it is on a cycle or below one, and the ancestors these nodes
-    point at by then are exactly the nodes on cycles.
+    ``anc`` it is. So trees of depth d take log2(d) rounds rather than d. A node that is deeper than another round reaches
+    has ancestors that this round does finish; so when a round finishes none, what is left is never processed: it is on
+    cycles or below them.
     """
     now = tree.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("height"),
                       F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"))
     now = materialize(now)
-    rounds, step = [], 1
+    rounds, step, before = [], 1, None
     while True:
         active = now.where(F.col("anc").isNotNull())
         n = active.count()
-        if n == 0 or step > n:
+        if n in (0, before):
             break
+        before = n
         rounds.append((active.select("node", "anc"), n))
         grown = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("add"), F.max(F.col("height")).alias("below"))
         up = active.select("node", "anc")
@@ -99,8 +100,22 @@ def climb(tree: DataFrame) -> Jumps:
             )
         )
         step *= 2
-    left = now.where(F.col("anc").isNotNull())
-    return Jumps(now, rounds, left.select(F.col("anc").alias("node")).distinct())
+    return Jumps(now, rounds, _on_cycles(now.where(F.col("anc").isNotNull()).select("node", "anc")))
+
+
+def _on_cycles(stuck: DataFrame) -> DataFrame:
+    """(node) on cycles, of nodes with an ancestor each that are all on or below cycles.
+
+    Going up moves a set of such nodes towards the cycles. When it no longer shrinks, it goes round on them.
+    """
+    at = materialize(stuck.select(F.col("anc").alias("node")).distinct())
+    n = at.count()
+    while n:
+        at = materialize(stuck.join(at, "node").select(F.col("anc").alias("node")).distinct())
+        n, before = at.count(), n
+        if n == before:
+            break
+    return at
 
 
 def hierarchy(

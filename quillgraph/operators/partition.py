@@ -21,7 +21,6 @@ def boundaries(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def assign(df: DataFrame, column: str, bounds: DataFrame) -> DataFrame:
-    """Add ``part``: the number of bounds below the value. The bounds are as many as there are parts, so they are sent as an array."""
-    sorted_bounds = F.broadcast(bounds.agg(F.sort_array(F.collect_list("bound")).alias("_bounds")))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(column)))
-    return df.crossJoin(sorted_bounds).withColumn("part", below).drop("_bounds")
+    """Add ``part``: the number of bounds below the value; there is one bound less than there are parts."""
+    cuts = sorted((r[0] for r in bounds.select("bound").collect()), key=lambda x: x.encode() if isinstance(x, str) else x)
+    return df.withColumn("part", sum(((F.col(column) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))

@@ -45,29 +45,49 @@ def ranges(triples: DataFrame) -> DataFrame:
     return triples.where(F.col("p") == RANGE).groupBy(F.col("s").alias("property")).agg(F.min("o").alias("class"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(sub, sup): all pairs joined by a path of edges, in rounds that double the length of paths; cycles end."""
-    now = materialize(edges.distinct())
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(sub, sup): all pairs joined by a path of edges; with ``starts`` (sub) only those from these classes.
+
+    Round k adds to the paths of up to 2^k edges those that go on by exactly 2^k more, so a pair of a tree is made
+    once and a tree of depth d takes log2(d) rounds; cycles end when a round adds nothing.
+    """
+    jump = materialize(edges.distinct())
+    now = jump if starts is None else materialize(jump.join(starts.distinct(), "sub", "left_semi"))
     n = now.count()
-    while True:
-        longer = now.alias("a").join(now.alias("b"), F.col("a.sup") == F.col("b.sub")).select(F.col("a.sub"), F.col("b.sup"))
+    while n:
+        far = jump.select(F.col("sub").alias("sup"), F.col("sup").alias("far"))
+        longer = now.join(far, "sup").select("sub", F.col("far").alias("sup"))
         now = materialize(now.unionByName(longer).distinct())
         n, before = now.count(), n
         if n == before:
-            return now
+            break
+        jump = materialize(jump.join(far, "sup").select("sub", F.col("far").alias("sup")).distinct())
+    return now
 
 
-def direct_edges(edges: DataFrame, closed: DataFrame) -> DataFrame:
-    """(sub, sup): edges that no other superclass of ``sub`` implies."""
-    via = edges.withColumnRenamed("sup", "mid").join(closed.select(F.col("sub").alias("mid"), "sup"), "mid")
-    implied = via.where((F.col("mid") != F.col("sup")) & (F.col("mid") != F.col("sub"))).select("sub", "sup").distinct()
-    return edges.join(implied, ["sub", "sup"], "left_anti")
+def direct_edges(edges: DataFrame) -> DataFrame:
+    """(sub, sup): edges that no other superclass of ``sub`` implies.
 
-
-def tree(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    Every class has an edge to rdfs:Class, so that one is implied as soon as there is any other; for the rest only what
+    can be reached from classes side by side under one class has to be known, not the whole closure.
+    """
+    stated = materialize(edges.where(F.col("sup") != CLASS))
+    several = materialize(stated.groupBy("sub").count().where(F.col("count") > 1).select("sub"))
+    beside = materialize(stated.join(several, "sub", "left_semi").withColumnRenamed("sup", "mid"))
+    top = edges.sparkSession.createDataFrame([(CLASS,)], "sub string")
+    reach = closure(edges, beside.select(F.col("mid").alias("sub")).unionByName(top)).withColumnRenamed("sub", "mid")
+    reach = materialize(reach.where(F.col("sup") != CLASS))
+    via = beside.join(reach.where(F.col("mid") != CLASS), "mid").where((F.col("mid") != F.col("sup")) & (F.col("mid") != F.col("sub"))).select("sub", "sup")
+    above_top = reach.where(F.col("mid") == CLASS).select("sup")
+    over = stated.join(above_top, "sup", "left_semi").where(F.col("sub") != CLASS)
+    left = stated.join(via.unionByName(over).distinct(), ["sub", "sup"], "left_anti")
+    only_top = edges.where(F.col("sup") == CLASS).join(stated.select("sub").distinct(), "sub", "left_anti")
+    return left.unionByName(only_top)
+
+
+def tree(edges: DataFrame) -> DataFrame:
     """(class, parent): for each class the least of its direct superclasses, null for rdfs:Class and members of cycles without one."""
-    closed = closure(edges) if closed is None else closed
-    parents = direct_edges(edges, closed).groupBy(F.col("sub").alias("class")).agg(F.min("sup").alias("parent"))
+    parents = direct_edges(edges).groupBy(F.col("sub").alias("class")).agg(F.min("sup").alias("parent"))
     nodes = edges.select(F.col("sub").alias("class")).unionByName(edges.select(F.col("sup").alias("class"))).distinct()
     return nodes.join(parents, "class", "left").withColumn("parent", F.when(F.col("class") != CLASS, F.col("parent")))
 
@@ -78,14 +98,15 @@ def taxonomy(tree_df: DataFrame) -> DataFrame:
     Only what hangs below rdfs:Class is numbered; other classes have null for height and id. Post-order ids follow from
     the nested-set ranges: the number of nodes before a node in pre-order, less its ancestors, plus its descendants.
     """
-    h = hierarchy.hierarchy(tree_df, "class", "parent", with_path=False, deepest_first=True)
+    h = materialize(hierarchy.hierarchy(tree_df, "class", "parent", with_path=False, deepest_first=True))
     known = F.col("root_key") == CLASS
-    start = h.where((F.col("node_key") == CLASS)).select(F.col("range_start").alias("base"))
-    out = h.crossJoin(F.broadcast(start.limit(1))).select(
+    top = h.where(F.col("node_key") == CLASS).select("range_start").first()
+    base = top[0] if top else 0
+    out = h.select(
         F.col("node_key").alias("class"),
         F.col("parent_key").alias("parent"),
         F.when(known, F.col("height")).alias("height"),
-        F.when(known, F.col("range_start") - F.col("base") - F.col("depth") + F.col("n_descendants")).alias("assigned_id"),
+        F.when(known, F.col("range_start") - F.lit(base) - F.col("depth") + F.col("n_descendants")).alias("assigned_id"),
     )
     return out
 

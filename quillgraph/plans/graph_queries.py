@@ -120,12 +120,15 @@ def _taxonomy(spark, d):
     return materialize(sch.taxonomy(materialize(sch.tree(edges))))
 
 
-def dict_class_clustered(spark: SparkSession, d: str) -> DataFrame:
-    g = materialize(graph(spark, d))
-    best = sch.min_class(sch.term_classes(g), _taxonomy(spark, d))
+def _clustered(spark, d, tax):
+    best = sch.min_class(sch.term_classes(materialize(graph(spark, d))), tax)
     return dic.class_clustered(materialize(_freq(spark, d)), best, POPULAR)
 
 
+def dict_class_clustered(spark: SparkSession, d: str) -> DataFrame:
+    return _clustered(spark, d, _taxonomy(spark, d))
+
+
 def _encoded(spark, d):
     t = statements(spark, d)
     return enc.encode(t, materialize(dic.lexicographic(dic.explode_terms(t))))
@@ -236,8 +239,7 @@ def class_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def direct_subclass(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialize(sch.subclass_edges(graph(spark, d)))
-    return sch.direct_edges(edges, sch.closure(edges))
+    return sch.direct_edges(materialize(sch.subclass_edges(graph(spark, d))))
 
 
 def taxonomy_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +251,8 @@ def taxonomy_postorder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taxonomy_text(spark: SparkSession, d: str) -> DataFrame:
-    return sch.taxonomy_lines(_taxonomy(spark, d), class_id_ranges(spark, d))
+    tax = _taxonomy(spark, d)
+    return sch.taxonomy_lines(tax, sch.class_ranges(_clustered(spark, d, tax)))
 
 
 def term_class_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -162,10 +162,11 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     sample = taken.groupBy(F.col("ids")[F.col("source")].alias("doc_id"), "source", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     sample = materialize(sample.select("doc_id", "source", "copies", "n_tokens"))
     real = sample.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
-    all_tokens = real.agg(F.sum("tokens").alias("all_tokens"))
-    report = (
-        targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(F.broadcast(real), "source", "left").crossJoin(F.broadcast(all_tokens))
-        .select("source", "target_share", "max_repeats", (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-                F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.lit(size).cast("long").alias("planned_tokens"))
+    whole = real.agg(F.sum("tokens")).first()[0] or 0
+    own = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(F.broadcast(real), "source", "left")
+    tokens = F.coalesce("tokens", F.lit(0))
+    report = own.select(
+        "source", "target_share", "max_repeats", (tokens / F.lit(max(whole, 1))).alias("actual_share"), tokens.alias("tokens"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.lit(size).cast("long").alias("planned_tokens"),
     )
     return sample, report

@@ -141,10 +141,11 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     if len(goal) > 4096:
         raise ValueError("too many sources for patterns")
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("source").isin(list(goal)))
-    keyed = usable.select("doc_id", "source", "text", F.md5("text").alias("key"))
-    per = keyed.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    texts = per.groupBy("key").agg(F.min("text").alias("text"), F.sort_array(F.collect_set("source")).alias("pattern"), F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("ids"))
-    sized = materialize(with_token_counts(texts, "text", tokenizer).where(F.col("n_tokens") > 0))
+    # Tokens are counted where the texts are read: no text is shuffled, only its hash and size.
+    keyed = with_token_counts(usable.select("doc_id", "source", F.md5("text").alias("key"), "text"), "text", tokenizer).where(F.col("n_tokens") > 0)
+    per = keyed.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    ids = F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("ids")
+    sized = materialize(per.groupBy("key").agg(F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set("source")).alias("pattern"), ids))
     groups = sized.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(100_001).collect()
     if len(groups) > 100_000:
         raise ValueError("more than 100000 membership patterns")

@@ -32,8 +32,7 @@ def assign_lines(entries: DataFrame, lines: DataFrame, block: int, long: int) ->
     one = entries.where(F.col("splittable") & F.col("entry_id").isNotNull() & F.col("file_start").isNotNull()).groupBy("entry_id").agg(
         *[F.min(c).alias(c) for c in ("file_id", "file_start", "file_size")]
     )
-    own = lines.where(F.col("line").isNotNull() & F.col("byte_start").isNotNull()).groupBy("file_id", "byte_start").agg(F.min("line").alias("line"))
-    own = own.select("file_id", F.col("byte_start").alias("b"), (F.col("byte_start") + F.octet_length("line") + 1).alias("e"),
+    own = lines.where(F.col("line").isNotNull() & F.col("byte_start").isNotNull()).select("file_id", F.col("byte_start").alias("b"), (F.col("byte_start") + F.octet_length("line") + 1).alias("e"),
                      F.when(F.octet_length("line") >= long, F.encode("line", "UTF-8")).alias("text"))
     last = lines.groupBy("file_id").agg(F.max("byte_start").alias("last"))
     spans = one.join(last, "file_id").withColumn("to", F.least(F.coalesce(F.col("file_start") + F.col("file_size"), F.col("last")), F.col("last")))
@@ -76,8 +75,16 @@ def _in_rows(ddl: str, rows, at_once: int = 64):
 
 
 def pack_blocks(placed: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """One row per (entry, block) with the starts and ends of its lines; see _PACKED."""
-    rows = placed.repartition(parallelism(placed.sparkSession), "entry_id", "block").sortWithinPartitions("entry_id", "block", "b")
+    """One row per (entry, block) with the starts and ends of its lines; see _PACKED.
+
+    Repeated lines lie next to each other here and are dropped; of different lines at one place the shortest remains.
+    """
+    rows = placed.repartition(parallelism(placed.sparkSession), "entry_id", "block").sortWithinPartitions("entry_id", "block", "b", "e")
+
+    def packed(key: tuple[int, int], b: list, e: list, text: list) -> dict:
+        starts, ends = np.concatenate(b), np.concatenate(e)
+        first = np.r_[True, starts[1:] != starts[:-1]]
+        return _pack(*key, starts[first], ends[first], [t for t, on in zip(text, first) if on], limit, overlap)
 
     def run(batches):
         def groups():
@@ -90,13 +97,13 @@ def pack_blocks(placed: DataFrame, limit: int, overlap: int) -> DataFrame:
                     k = (int(ent[a]), int(blk[a]))
                     if k != key:
                         if key is not None:
-                            yield _pack(*key, np.concatenate(b), np.concatenate(e), text, limit, overlap)
+                            yield packed(key, b, e, text)
                         key, b, e, text = k, [], [], []
                     b.append(bs[a:z])
                     e.append(es[a:z])
                     text += texts.slice(a, z - a).to_pylist()
             if key is not None:
-                yield _pack(*key, np.concatenate(b), np.concatenate(e), text, limit, overlap)
+                yield packed(key, b, e, text)
 
         yield from _in_rows(_PACKED, groups())
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.prefix import prefix_sums
-from quillgraph.session import materialize
+from quillgraph.session import drop, materialize
 
 #: Pointers fewer than this are joined plainly: even all of them at one key are a small task.
 FEW = 50_000
@@ -149,11 +149,12 @@ def hierarchy(
         far = now.select(F.col("node").alias("anc"), F.col("offset").alias("offset2"), F.col("path").alias("path2"))
         more = lookup(pointers, far, "anc", n).drop("anc").where(F.col("offset2").isNotNull())
         path: Column = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(separator, "path2", "path"))
-        now = materialize(
+        old, now = now, materialize(
             now.join(more, "node", "left").select(
                 "node", (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"), (path if with_path else F.lit("")).alias("path")
             )
         )
+        drop(old)
     ok = ~F.col("stuck")
     status = (
         F.when(F.col("cycle"), "cycle").when(F.col("stuck"), "below_cycle").when(F.col("parent").isNotNull(), "node").when(F.col("linked").isNull(), "top").otherwise("orphan")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import hierarchy
-from quillgraph.session import materialize
+from quillgraph.session import drop, materialize
 
 # The vocabulary.
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
@@ -57,7 +57,9 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     while n:
         far = jump.select(F.col("sub").alias("sup"), F.col("sup").alias("far"))
         longer = now.join(far, "sup").select("sub", F.col("far").alias("sup"))
-        now = materialize(now.unionByName(longer).distinct())
+        old, now = now, materialize(now.unionByName(longer).distinct())
+        if old is not jump:
+            drop(old)
         n, before = now.count(), n
         if n == before:
             break

@@ -130,7 +130,7 @@ def dict_class_clustered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoded(spark, d):
-    t = statements(spark, d)
+    t = materialize(statements(spark, d))
     return enc.encode(t, materialize(dic.lexicographic(dic.explode_terms(t))))
 
 
@@ -144,8 +144,9 @@ def encode_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encode_no_predicates(spark: SparkSession, d: str) -> DataFrame:
-    t = statements(spark, d)
-    return enc.encode(t, materialize(dict_no_predicates(spark, d)), ignore_predicates=True)
+    t = materialize(statements(spark, d))
+    words = materialize(dic.lexicographic(dic.explode_terms(t, ignore_predicates=True), start=1))
+    return enc.encode(t, words, ignore_predicates=True)
 
 
 def encode_hybrid_join(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,7 @@ def encode_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    t = statements(spark, d)
+    t = materialize(statements(spark, d))
     words = materialize(dic.lexicographic(dic.explode_terms(t)))
     return enc.decode(materialize(enc.encode(t, words)), words)
 

@@ -46,19 +46,32 @@ def materialize(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if not hasattr(spark, "_quillgraph_tables"):
+        spark._quillgraph_tables = []
+    spark._quillgraph_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for at in parents:
-            if "/quillgraph-" in at:
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    tables = getattr(df.sparkSession, "_quillgraph_tables", [])
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        own = next((t for t in tables if t.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]), None)
+        if own:
+            tables.remove(own)
+            _delete(df.sparkSession, own)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables of :func:`materialize` of this session: call it when the results that read them are written."""
+    tables = getattr(spark, "_quillgraph_tables", [])
+    while tables:
+        _delete(spark, tables.pop())
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -271,3 +271,35 @@ def test_config():
     assert (src, out, cfg.top_k, cfg.ignore_predicates, cfg.popularity) == ("a", "b", 7, True, Popularity.COUNT_MIN)
     with pytest.raises(ValueError):
         EncodeConfig(permutations=64)
+
+
+def test_pipeline_encodes_and_writes(spark, tmp_path):
+    from quillgraph import pipeline
+    from quillgraph.session import cleanup
+
+    typ, sub = schema.TYPE, schema.SUBCLASS
+    rows = [("<C1>", sub, "<C2>"), ("<a>", typ, "<C1>"), ("<b>", typ, "<C2>"), ("<a>", "<p>", "<b>"), ("<a>", "<p>", "<b>"), ("<z>", "<p>", '"x y"')]
+    src = tmp_path / "in.nt"
+    src.write_text("".join(f"{s} {p} {o} .\n" for s, p, o in rows) + "broken\n")
+    for way in Popularity:
+        cfg = EncodeConfig(popularity=way, top_k=2, start_counter=10, write_taxonomy=True, sample_per_10000=10000)
+        out = pipeline.encode_graph(nt.read_ntriples(spark, str(src)), cfg)
+        words = {r.id: r.term for r in out.dictionary.collect()}
+        assert sorted(words) == list(range(10, 10 + len({x for r in rows for x in r})))
+        assert {tuple(words[i] for i in r) for r in map(tuple, out.triples.collect())} == set(rows)
+        assert words[10] == "<p>"
+        order = [words[i] for i in sorted(words)]
+        assert order.index("<b>") < order.index("<z>") or "<b>" in order[:2]  # terms with a class before those without
+    pipeline.run(spark, str(src), str(tmp_path / "out"), cfg)
+    assert {r.term for r in stores.read_dictionary_text(spark, str(tmp_path / "out" / "dict_text")).collect()} == set(words.values())
+    assert stores.read_permutation(spark, str(tmp_path / "out" / "permutations"), "pso").count() == 5
+    ids, _ = stores.read_taxonomy_text(spark, str(tmp_path / "out" / "taxonomy_text"))
+    assert ids.count() == 3
+    cleanup(spark)
+
+
+def test_queries_and_sql_have_the_same_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert {f"p{n}_found" for n in (5, 6, 7)} <= set(entry.queries())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.prefix import prefix_sums
-from quillgraph.session import drop, materialize
+from quillgraph.session import drop, materialize, materialize_counted
 
 #: Pointers fewer than this are joined plainly: even all of them at one key are a small task.
 FEW = 50_000
@@ -75,13 +75,13 @@ def climb(tree: DataFrame) -> Jumps:
     """
     now = tree.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("height"),
                       F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"))
-    now = materialize(now)
+    going = F.col("anc").isNotNull()
+    now, n = materialize_counted(now, going)
     rounds, step, before = [], 1, None
     while True:
-        active = now.where(F.col("anc").isNotNull())
-        n = active.count()
         if n in (0, before):
             break
+        active = now.where(going)
         before = n
         rounds.append((active.select("node", "anc"), n))
         grown = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("add"), F.max(F.col("height")).alias("below"))
@@ -89,7 +89,7 @@ def climb(tree: DataFrame) -> Jumps:
         far = now.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         moved = lookup(up, far, "anc", n).drop("anc")
         joined = now.join(grown, "node", "left").join(moved, "node", "left")
-        now = materialize(
+        now, n = materialize_counted(
             joined.select(
                 "node",
                 F.col("anc2").alias("anc"),
@@ -97,10 +97,11 @@ def climb(tree: DataFrame) -> Jumps:
                 F.greatest("height", F.coalesce(F.col("below") + step, F.lit(0))).alias("height"),
                 (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
                 F.coalesce("root2", "root").alias("root"),
-            )
+            ),
+            going,
         )
         step *= 2
-    return Jumps(now, rounds, _on_cycles(now.where(F.col("anc").isNotNull()).select("node", "anc")))
+    return Jumps(now, rounds, _on_cycles(now.where(going).select("node", "anc")))
 
 
 def _on_cycles(stuck: DataFrame) -> DataFrame:

@@ -115,18 +115,23 @@ def dict_hash_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return dic.conflicts(short)
 
 
-def _taxonomy(spark, d):
-    edges = materialize(sch.subclass_edges(graph(spark, d)))
-    return materialize(sch.taxonomy(materialize(sch.tree(edges))))
+def _graph(spark, d):
+    """The graph, written once, as schema and classes read it several times."""
+    return materialize(graph(spark, d))
 
 
-def _clustered(spark, d, tax):
-    best = sch.min_class(sch.term_classes(materialize(graph(spark, d))), tax)
+def _taxonomy(g):
+    return materialize(sch.taxonomy(materialize(sch.tree(materialize(sch.subclass_edges(g))))))
+
+
+def _clustered(spark, d, g, tax):
+    best = materialize(sch.min_class(materialize(sch.term_classes(g)), tax))
     return dic.class_clustered(materialize(_freq(spark, d)), best, POPULAR)
 
 
 def dict_class_clustered(spark: SparkSession, d: str) -> DataFrame:
-    return _clustered(spark, d, _taxonomy(spark, d))
+    g = _graph(spark, d)
+    return _clustered(spark, d, g, _taxonomy(g))
 
 
 def _encoded(spark, d):
@@ -224,7 +229,7 @@ def schema_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_subclass_edges(spark: SparkSession, d: str) -> DataFrame:
-    return sch.subclass_edges(graph(spark, d))
+    return sch.subclass_edges(_graph(spark, d))
 
 
 def schema_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -240,28 +245,30 @@ def class_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def direct_subclass(spark: SparkSession, d: str) -> DataFrame:
-    return sch.direct_edges(materialize(sch.subclass_edges(graph(spark, d))))
+    return sch.direct_edges(materialize(sch.subclass_edges(_graph(spark, d))))
 
 
 def taxonomy_tree(spark: SparkSession, d: str) -> DataFrame:
-    return sch.tree(materialize(sch.subclass_edges(graph(spark, d))))
+    return sch.tree(materialize(sch.subclass_edges(_graph(spark, d))))
 
 
 def taxonomy_postorder(spark: SparkSession, d: str) -> DataFrame:
-    return _taxonomy(spark, d)
+    return _taxonomy(_graph(spark, d))
 
 
 def taxonomy_text(spark: SparkSession, d: str) -> DataFrame:
-    tax = _taxonomy(spark, d)
-    return sch.taxonomy_lines(tax, sch.class_ranges(_clustered(spark, d, tax)))
+    g = _graph(spark, d)
+    tax = _taxonomy(g)
+    return sch.taxonomy_lines(tax, sch.class_ranges(_clustered(spark, d, g, tax)))
 
 
 def term_class_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return sch.term_classes(materialize(graph(spark, d)))
+    return sch.term_classes(_graph(spark, d))
 
 
 def term_min_class(spark: SparkSession, d: str) -> DataFrame:
-    return sch.min_class(sch.term_classes(materialize(graph(spark, d))), _taxonomy(spark, d))
+    g = _graph(spark, d)
+    return sch.min_class(materialize(sch.term_classes(g)), _taxonomy(g))
 
 
 def class_id_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -274,11 +281,11 @@ def id_to_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return sch.class_frequency(sch.term_classes(materialize(graph(spark, d))))
+    return sch.class_frequency(sch.term_classes(_graph(spark, d)))
 
 
 def _transactions(spark, d):
-    classes = materialize(sch.term_classes(materialize(graph(spark, d))))
+    classes = materialize(sch.term_classes(_graph(spark, d)))
     return materialize(pat.transactions(classes, materialize(sch.class_frequency(classes)), 3))
 
 
@@ -299,7 +306,7 @@ def frequent_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sibling_order_by_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return pat.sibling_order(_taxonomy(spark, d).select("class", "parent"), pat.frequent_pairs(_transactions(spark, d), 5))
+    return pat.sibling_order(_taxonomy(_graph(spark, d)).select("class", "parent"), pat.frequent_pairs(_transactions(spark, d), 5))
 
 
 def cm_estimate(spark: SparkSession, d: str) -> DataFrame:

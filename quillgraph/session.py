@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str = "local[*]", partitions: int = 8, name: str = "quillgraph") -> SparkSession:
@@ -52,6 +53,13 @@ def materialize(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """The same, with the number of rows that fulfil ``condition``, counted while writing."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

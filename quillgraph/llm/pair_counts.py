@@ -139,7 +139,10 @@ def cooccurrence(
     if n_items >= 1 << 32:
         raise ValueError("more than 2^32 items")
     if n_items <= broadcast_items:
-        known = np.sort(np.array([r[0] for r in kept.select("item").toLocalIterator()], np.int64))
+        sized = kept.select("item", "n").toArrow()  # 16 bytes an item
+        key, n_key = (sized.column(c).to_numpy() for c in ("item", "n"))
+        order = np.argsort(key)
+        known = key[order]
         codes = _make_runs(data, known)
     else:
         ids = materialize(dense_ids(kept.select("item"), ["item"], "id"))
@@ -150,8 +153,7 @@ def cooccurrence(
         kept = kept.join(ids, "item")
     merged = codes.repartition(parallelism(spark), "code").sortWithinPartitions("code").mapInArrow(_count_runs, _CODES)
     if n_items <= broadcast_items:
-        rows = sorted((r["item"], r["n"]) for r in kept.select("item", "n").toLocalIterator())
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+        shared = spark.sparkContext.broadcast((known, n_key[order]))
 
         def name(batches):
             key, n = shared.value
@@ -163,7 +165,7 @@ def cooccurrence(
 
         out = merged.mapInArrow(name, "item_a long, item_b long, n_a long, n_b long, n_ab long, n_baskets long")
     else:
-        both = merged.select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id_b"), "n_ab", "n_baskets")
+        both = merged.select(F.shiftrightunsigned("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id_b"), "n_ab", "n_baskets")
         for side in "ab":
             both = lookup(both, kept.select(F.col("id").alias(f"id_{side}"), F.col("item").alias(f"item_{side}"), F.col("n").alias(f"n_{side}")), f"id_{side}")
         out = both.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n_baskets")

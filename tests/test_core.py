@@ -206,6 +206,19 @@ def test_hashes_and_strings(spark):
         assert low == (None if x == 0 else (x & -x).bit_length() - 1) and zero == ((x + 1) & ~x).bit_length() - 1
 
 
+def test_murmur(spark):
+    from quillgraph.functions import murmur
+
+    assert murmur.murmur3_32(b"") == 0 and murmur.murmur3_32(b"hello") == 0x248BFA47 and murmur.murmur3_128(b"") == (0, 0)
+    assert murmur.murmur3_128(b"hello") == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)
+    assert murmur.murmur3_128(b"The quick brown fox jumps over the lazy dog") == (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)
+    df = spark.createDataFrame([("hello",), (None,), ("é",)], "t string")
+    got = [r[0] for r in df.select(murmur.murmur3_56_column(F.col("t"))).collect()]
+    assert got == [murmur.murmur3_56(b"hello"), None, murmur.murmur3_56("é".encode())] and 0 <= got[0] < 1 << 56
+    pair = spark.createDataFrame([([1, 2],), ([2, 1],), (None,), ([],)], "a array<long>").select(murmur.hash_array(F.col("a"))).collect()
+    assert pair[0] != pair[1] and pair[2][0] is None and pair[3][0] == 0
+
+
 def test_codecs_round_trip(spark):
     for x in [0, 1, 127, 128, 510, 1 << 20, (1 << 56) + 7, (1 << 61) - 1]:
         assert codecs.decode_varint(codecs.encode_varint(x)) == x == codecs.decode_varint(codecs.encode_varint(x, big=True), big=True)

@@ -127,21 +127,27 @@ def cost(word: str) -> float:
             if x == "C" and before == "c":
                 total += 2.0
             if not (0x410 <= o <= 0x44F or c in "ЁёІіЇїЄєҐґ"):
-                total += 1.0
+                total += 1.0 if any(y in "cC" for y in (before, after)) or n > 2 else 2.0
             if after in "stzb" or (after == "q" and word[i + 1] in "‚„‹›…“‘"):
                 total += 1.0
         if x == "b":
-            total += 1.25 * sum(y in _LETTER or y in "ks" for y in (before, after))
+            glued = 2.0 if 0x2550 <= o <= 0x256C or o >= 0x2580 else 1.25  # double lines and blocks are rarer than tree lines
+            total += glued * sum(y in _LETTER or y in "ks" for y in (before, after))
         if c == "¬" and n <= 2:
             total += 0.5
         elif x == "z":
             total += 2.0 * sum(y in _LETTER for y in (before, after)) if before in _LETTER or after in _LETTER else 1.0
         if x == "s":
             total += 1.2 * sum(y in _LETTER for y in (before, after)) + 0.5 * (after in "stzqm")
+            if c in "≤≥≈∞√∩±÷" and ((before in "ae" and k[max(0, i - 2)] in "ae" and i > 1 and after in " p") or (c == "∞" and after in _LETTER)):
+                total += 0.8  # an operator without an operand
         if x == "t":
-            total += (1.5 if inside else 0.0) + (1.0 if before in "z" or after in "z" else 0.0) + (0.6 if before in "E" else 0.0)
+            dot = c == "·" and word[i - 1 : i + 2].lower() != "l·l"
+            total += (2.0 if dot else 1.5 if c != "·" else 0.0) * inside + (1.0 if before in "z" or after in "z" else 0.0) + (0.6 if before in "E" else 0.0)
         if x == "m":
-            total += 1.0 if before in _LETTER or before in "sz" else 0.0
+            total += 2.0 if inside else 1.0 if before in _LETTER or before in "sz" else 0.0
+        if c in "\u2013\u2014\u2026" and inside:
+            total += 0.3
         if x == "q" and c not in "’ ​­–—…":
             total += (1.0 if inside else 0.0) + (0.5 if before == "q" and c in "‚„" else 0.0) + (0.7 if c in "‚„" and before in _LETTER else 0.0)
         if x == "k":
@@ -149,7 +155,7 @@ def cost(word: str) -> float:
         if x == "h":
             total += 0.7
         if x == "l":
-            total += 0.3
+            total += 0.9 if inside else 0.3
         # Of equally sound texts the one of more usual letters and signs is nearer.
         total += _RARE.get(c, 0.04 if x in "eE" else 0.0)
         if c == "ã" and word[i + 1 : i + 2] not in ("o", "e", "s", ""):

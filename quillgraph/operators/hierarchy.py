@@ -119,17 +119,72 @@ def _on_cycles(stuck: DataFrame) -> DataFrame:
     return at
 
 
+def _rings(cycle: DataFrame) -> DataFrame:
+    """(node, ring) of the nodes (node, parent) on cycles: the least node of the same cycle, looked for 2^k steps around in round k."""
+    now = cycle.select("node", F.col("parent").alias("anc"), F.col("node").alias("ring"))
+    while True:
+        far = now.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("ring").alias("ring2"))
+        moved = now.join(far, "anc").select("node", F.col("anc2").alias("anc"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved"))
+        now, n = materialize_counted(moved, F.col("moved"))
+        now = now.drop("moved")
+        if n == 0:
+            return now.select("node", "ring")
+
+
+def _offsets(nodes: DataFrame, rounds: list[tuple[DataFrame, int]], with_path: bool, separator: str, deepest_first: bool) -> DataFrame:
+    """(node, offset, path) of the nodes (node, parent, size, height) of whole trees, with the pointers of :func:`climb`."""
+    name = F.col("node").cast("string")
+    siblings = [F.col("height").desc(), F.col("node")] if deepest_first else [F.col("node")]
+    laid = prefix_sums(nodes.select("node", "parent", "size", "height"), "parent", siblings, "size", "before")
+    now = materialize(laid.select("node", (F.col("before") + 1).alias("offset"), (name if with_path else F.lit("")).alias("path")))
+    for pointers, n in rounds:
+        far = now.select(F.col("node").alias("anc"), F.col("offset").alias("offset2"), F.col("path").alias("path2"))
+        more = lookup(pointers, far, "anc", n).drop("anc").where(F.col("offset2").isNotNull())
+        path: Column = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(separator, "path2", "path"))
+        old, now = now, materialize(
+            now.join(more, "node", "left").select(
+                "node", (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"), (path if with_path else F.lit("")).alias("path")
+            )
+        )
+        drop(old)
+    return now
+
+
+def _hanging(stuck: DataFrame, first: int, deepest_first: bool) -> DataFrame:
+    """(node, offset, size, height, others) of the nodes (node, parent, cycle) on and below cycles; offsets come after ``first``.
+
+    Each cycle is taken as one node, so that what hangs below it is a tree. The nodes of a cycle share its offset and
+    size; ``others`` is how many more of them there are (null below a cycle), and they have no height.
+    """
+    ring = materialize(_rings(stuck.where(F.col("cycle")).select("node", "parent")))
+    tops = ring.select(F.col("ring").alias("node"), F.lit(None).cast(stuck.schema["parent"].dataType).alias("parent")).distinct()
+    up = lookup(stuck.where(F.col("cycle").isNull()).select("node", "parent"), ring.select(F.col("node").alias("parent"), "ring"), "parent")
+    forest = materialize(tops.unionByName(up.select("node", F.coalesce("ring", "parent").alias("parent"))))
+    jumps = climb(forest)
+    sized = materialize(jumps.nodes.select("node", "size", "height").join(forest, "node"))
+    laid = _offsets(sized, jumps.rounds, False, "", deepest_first)
+    at = materialize(sized.join(laid, "node").select("node", (F.col("offset") + first).alias("offset"), "size", "height"))
+    count = ring.groupBy("ring").agg((F.count("*") - 1).alias("others"))
+    on = at.withColumnRenamed("node", "ring").join(count, "ring").join(ring, "ring").select("node", "offset", "size", F.lit(None).cast("long").alias("height"), "others")
+    return on.unionByName(at.join(ring, "node", "left_anti").withColumn("others", F.lit(None).cast("long")))
+
+
 def hierarchy(
-    df: DataFrame, key: str, parent: str, *, recorded: str | None = None, with_path: bool = True, separator: str = "/", deepest_first: bool = False
+    df: DataFrame, key: str, parent: str, *, recorded: str | None = None, with_path: bool = True, separator: str = "/", deepest_first: bool = False,
+    below_cycles: bool = False,
 ) -> DataFrame:
     """For each node: (node_key, parent_key, root_key, depth, height, n_descendants, range_start, range_end, path, status).
 
-    Nested sets: node b is a descendant of a iff a.range_start < b.range_start < a.range_end. ``depth`` is 0 at a top,
+    Nested sets: another node b is a descendant of a iff a.range_start <= b.range_start < a.range_end. ``depth`` is 0 at a top,
     ``height`` that of the subtree; ``path`` joins the keys from the root to the node. ``status`` is ``top``, ``orphan``
     (its parent isn't listed, so it is a root too), ``node``, ``cycle`` (its own ancestor), or ``below_cycle``; the last two have
     null for all but the keys. With ``recorded`` (a column with a stated height) ``height_matches`` is added: null if it
     isn't recorded or there is no height.
 
+    With ``below_cycles`` the last two have what is defined for them too: null are only their root, depth and path, and
+    the height of nodes on cycles. The nodes of a cycle share one range, and each has all others of it and all that
+    hangs below any of them as descendants, but not itself.
+
     Upward rounds give the sizes, prefix sums over siblings give each node its offset from its parent, and downward
     rounds add the offsets (and paths) of 2^k ancestors in round k. All rounds are joins on unique keys.
 
@@ -142,38 +197,30 @@ def hierarchy(
     stuck = jumps.nodes.select("node", F.col("anc").isNotNull().alias("stuck"), "size", "height", "depth", "root")
     base = materialize(tree.join(stuck, "node").join(on_cycle, "node", "left"))
     sound = base.where(~F.col("stuck"))
-    name = F.col("node").cast("string")
-    siblings = [F.col("height").desc(), F.col("node")] if deepest_first else [F.col("node")]
-    laid = prefix_sums(sound.select("node", "parent", "size", "height"), "parent", siblings, "size", "before")
-    now = materialize(laid.select("node", (F.col("before") + 1).alias("offset"), (name if with_path else F.lit("")).alias("path")))
-    for pointers, n in jumps.rounds:
-        far = now.select(F.col("node").alias("anc"), F.col("offset").alias("offset2"), F.col("path").alias("path2"))
-        more = lookup(pointers, far, "anc", n).drop("anc").where(F.col("offset2").isNotNull())
-        path: Column = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(separator, "path2", "path"))
-        old, now = now, materialize(
-            now.join(more, "node", "left").select(
-                "node", (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"), (path if with_path else F.lit("")).alias("path")
-            )
-        )
-        drop(old)
+    out = base.join(_offsets(sound, jumps.rounds, with_path, separator, deepest_first), "node", "left")
     ok = ~F.col("stuck")
+    size, height, others = F.when(ok, F.col("size")), F.when(ok, F.col("height")), F.lit(0)
+    if below_cycles and not jumps.on_cycle.isEmpty():
+        more = _hanging(base.where(F.col("stuck")).select("node", "parent", "cycle"), sound.count(), deepest_first)
+        out = out.join(more.select("node", *[F.col(c).alias(f"{c}2") for c in ("offset", "size", "height", "others")]), "node", "left")
+        out = out.withColumn("offset", F.coalesce("offset", "offset2"))
+        size, height, others = F.coalesce(size, "size2"), F.coalesce(height, "height2"), F.coalesce("others2", F.lit(0))
     status = (
         F.when(F.col("cycle"), "cycle").when(F.col("stuck"), "below_cycle").when(F.col("parent").isNotNull(), "node").when(F.col("linked").isNull(), "top").otherwise("orphan")
     )
-    out = base.join(now, "node", "left").select(
+    return out.select(
         F.col("node").alias("node_key"),
         F.col("parent").alias("parent_key"),
         F.when(ok, F.col("root")).alias("root_key"),
         F.when(ok, F.col("depth")).alias("depth"),
-        F.when(ok, F.col("height")).alias("height"),
-        F.when(ok, F.col("size") - 1).alias("n_descendants"),
+        height.alias("height"),
+        (size - 1 + others).alias("n_descendants"),
         F.col("offset").alias("range_start"),
-        (F.col("offset") + F.col("size")).alias("range_end"),
+        (F.col("offset") + size).alias("range_end"),
         *([F.col("path")] if with_path else []),
         status.alias("status"),
-        *([F.when(ok, F.col("height") == F.col("recorded")).alias("height_matches")] if recorded else []),
+        *([(height == F.col("recorded")).alias("height_matches")] if recorded else []),
     )
-    return out
 
 
 def cycle_nodes(df: DataFrame, key: str, parent: str) -> DataFrame:
@@ -184,10 +231,10 @@ def cycle_nodes(df: DataFrame, key: str, parent: str) -> DataFrame:
 def descendants(tree: DataFrame, of: DataFrame, blocks: int = 4096) -> DataFrame:
     """(ancestor_key, node_key) of all descendants of the nodes ``of`` (node_key), by ranges of :func:`hierarchy`.
 
-    Ranges are cut at multiples of ``blocks``, so the join is one on (block) keys and not of all pairs.
+    With ranges of ``below_cycles`` those on and below cycles are among them; no node is its own. Ranges are cut at multiples of ``blocks``, so the join is one on (block) keys and not of all pairs.
     """
     who = of.select("node_key").distinct().join(tree.select("node_key", "range_start", "range_end").where(F.col("n_descendants") > 0), "node_key")
     cut = F.explode(F.sequence(F.floor(F.col("range_start") / blocks), F.floor((F.col("range_end") - 1) / blocks)))
     spans = who.select(F.col("node_key").alias("ancestor_key"), F.col("range_start").alias("a"), F.col("range_end").alias("z"), cut.alias("block"))
     points = tree.where(F.col("range_start").isNotNull()).select("node_key", F.col("range_start").alias("at"), F.floor(F.col("range_start") / blocks).alias("block"))
-    return points.join(spans, "block").where((F.col("at") > F.col("a")) & (F.col("at") < F.col("z"))).select("ancestor_key", "node_key")
+    return points.join(spans, "block").where((F.col("at") >= F.col("a")) & (F.col("at") < F.col("z")) & (F.col("node_key") != F.col("ancestor_key"))).select("ancestor_key", "node_key")

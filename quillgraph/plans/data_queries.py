@@ -49,8 +49,17 @@ def p7_top_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(tree, tree.where(F.col("depth") == 1))
 
 
+def _whole(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, d, "class_nodes"), "node_key", "parent_key", below_cycles=True, **kw)
+
+
+def p7_whole_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_hierarchy, with heights and ranges on and below cycles too."""
+    return _whole(spark, d, recorded="node_depth")
+
+
 QUERIES = {
-    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants)
+    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants, p7_whole_hierarchy)
 }
 
 _NODES = """
@@ -114,4 +123,28 @@ down(ancestor_key, node_key) AS (
   SELECT node_key, node_key FROM walk WHERE depth = 1
   UNION ALL SELECT d.ancestor_key, t.node_key FROM tree t JOIN down d ON t.parent_key = d.node_key)
 SELECT ancestor_key, node_key FROM down WHERE node_key <> ancestor_key""",
+    "p7_whole_hierarchy": f"""
+WITH RECURSIVE {_NODES},
+ring(node_key, anc) AS (
+  SELECT node_key, parent_key FROM tree WHERE parent_key IS NOT NULL
+  UNION SELECT r.node_key, t.parent_key FROM ring r JOIN tree t ON r.anc = t.node_key WHERE t.parent_key IS NOT NULL),
+cyc AS (SELECT node_key, min(anc) AS head, count(*) - 1 AS others FROM ring GROUP BY 1 HAVING bool_or(node_key = anc)),
+spot(node_key, part, trail) AS (
+  SELECT t.node_key, CASE WHEN c.head IS NULL THEN 0 ELSE 1 END, [coalesce(c.head, t.node_key)] FROM tree t LEFT JOIN cyc c USING (node_key)
+  WHERE t.parent_key IS NULL OR c.head IS NOT NULL
+  UNION ALL SELECT t.node_key, s.part, list_append(s.trail, t.node_key) FROM tree t JOIN spot s ON t.parent_key = s.node_key
+  WHERE t.node_key NOT IN (SELECT node_key FROM cyc)),
+pos AS (SELECT node_key, dense_rank() OVER (ORDER BY part, trail) AS range_start FROM spot),
+above(node_key, anc, dist) AS (
+  SELECT node_key, node_key, CAST(0 AS BIGINT) FROM tree WHERE node_key NOT IN (SELECT node_key FROM cyc)
+  UNION ALL SELECT a.node_key, t.parent_key, a.dist + 1 FROM above a JOIN tree t ON a.anc = t.node_key
+  WHERE t.parent_key IS NOT NULL AND t.node_key NOT IN (SELECT node_key FROM cyc)),
+below AS (SELECT coalesce(c.head, a.anc) AS head, max(a.dist) AS height, count(*) + CASE WHEN any_value(c.head) IS NULL THEN 0 ELSE 1 END AS size
+          FROM above a LEFT JOIN cyc c ON a.anc = c.node_key GROUP BY 1)
+SELECT t.node_key, t.parent_key, w.root_key, w.depth, CASE WHEN c.head IS NULL THEN b.height END AS height, coalesce(b.size, 1) - 1 + coalesce(c.others, 0) AS n_descendants,
+       p.range_start, p.range_start + coalesce(b.size, 1) AS range_end, w.path,
+       CASE WHEN c.head IS NOT NULL THEN 'cycle' WHEN w.node_key IS NULL THEN 'below_cycle' WHEN t.parent_key IS NOT NULL THEN 'node'
+            WHEN t.had_parent THEN 'orphan' ELSE 'top' END AS status,
+       CASE WHEN c.head IS NULL THEN b.height = t.recorded END AS height_matches
+FROM tree t LEFT JOIN walk w USING (node_key) LEFT JOIN cyc c USING (node_key) JOIN pos p USING (node_key) LEFT JOIN below b ON b.head = coalesce(c.head, t.node_key)""",
 }

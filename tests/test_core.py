@@ -110,6 +110,37 @@ def test_hierarchy_against_walking_up(spark, seed, monkeypatch):
     assert {x.node_key for x in hierarchy.cycle_nodes(df, "id", "up").collect()} == {k for k, v in want.items() if v[0] == "cycle"}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_nodes_on_and_below_cycles_have_heights_and_descendants(spark, seed, monkeypatch):
+    monkeypatch.setattr(hierarchy, "FEW", 20)
+    r = random.Random(seed)
+    up = {0: None} | {k: r.choice([None, k - 1, r.randint(0, k - 1)]) for k in range(1, 60)}
+    up |= {100: 100, 110: 111, 111: 112, 112: 113, 113: 110}  # rings of one and of four
+    up |= {200: 113} | {k: r.choice([100, 110, 112, 112, r.randint(200, k - 1), k - 1]) for k in range(201, 260)}
+    df = spark.createDataFrame([(k, p, 2) for k, p in up.items()], "id long, up long, high int")
+    below = {k: set() for k in up}
+    far = {k: {} for k in up}
+    for k in up:
+        x, n, seen = up[k], 1, set()
+        while x is not None and x not in seen:
+            seen.add(x)
+            below[x].add(k)
+            far[x][k] = n
+            x, n = up[x], n + 1
+    ring = {k for k in up if k in below[k]}
+    tree = hierarchy.materialize(hierarchy.hierarchy(df, "id", "up", recorded="high", below_cycles=True))
+    got = {x.node_key: x for x in tree.collect()}
+    assert ring == {k for k, x in got.items() if x.status == "cycle"} == {100, 110, 111, 112, 113}
+    for k, x in got.items():
+        want = None if k in ring else max(far[k].values(), default=0)
+        assert (x.height, x.n_descendants) == (want, len(below[k] - {k}))
+        assert x.height_matches == (None if want is None else want == 2)
+        assert (x.root_key is None) == (x.status in ("cycle", "below_cycle"))
+        assert below[k] - {k} == {b.node_key for b in got.values() if x.range_start <= b.range_start < x.range_end and b.node_key != k}
+    pairs = [(x.ancestor_key, x.node_key) for x in hierarchy.descendants(tree, tree, blocks=16).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(k, b) for k, v in below.items() for b in v - {k}}
+
+
 def test_hierarchy_of_nothing_and_of_a_long_chain(spark):
     df = spark.createDataFrame([], "id long, up long")
     assert hierarchy.hierarchy(df, "id", "up").count() == 0 and hierarchy.cycle_nodes(df, "id", "up").count() == 0

@@ -33,6 +33,8 @@ UTF8_GAIN = 0.5
 #: Gain of one word, or of all words by the same change, for pages mistaken for one another.
 PAGE_GAIN = 1.9
 PAGE_GAIN_ALL = 3.0
+#: Cost from which a word is searched for that: less are rarer letters, pairs of accents and Greek variables (0.9) of correct text, which would add up.
+PAGE_COST = 1.0
 #: Longest word that is looked at as one.
 CHUNK = 256
 
@@ -54,6 +56,8 @@ _SPACING = set("¬¨´¸¯ˆ˜˘˙˝˛ˇ¦¤")
 _AFTER_LETTER = set("™®©°²³¹ªº•·")
 _RARE = dict.fromkeys("хжшюцщэфъёХЖШЮЦЩЭФЪЁ", 0.06) | dict.fromkeys("ýþðÿøåæœšžłőűÝÞÐŸØÅÆŒŠŽŁ", 0.1)
 _MICRO = set("µμΩ℃№")
+_VOWELS = set("aeiouyäöüAEIOUYÄÖÜ")
+_FUNCTIONS = ("sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "exp", "lim", "max", "min", "arg", "det")
 
 
 @lru_cache(maxsize=20_000)
@@ -88,6 +92,25 @@ def kind(c: str) -> str:
 _LATIN, _CYR, _LETTER = set("aAeE"), set("cC"), set("aAeEcCgl")
 
 
+def _run_of_small(k: list[str], i: int, step: int) -> int:
+    """How many small Latin letters follow one another from i on."""
+    n = 0
+    while 0 <= i < len(k) and k[i] in "ae":
+        n += 1
+        i += step
+    return n
+
+
+def _glued(word: str, k: list[str], i: int) -> bool:
+    """Whether a Greek letter or ⁿ begins or ends a word of small Latin letters, and is no variable, index or unit."""
+    c, left, right = word[i], _run_of_small(k, i - 1, -1), _run_of_small(k, i + 1, 1)
+    if left:
+        return left >= 2 and not right and not word[i - left : i].endswith(_FUNCTIONS)
+    if i and k[i - 1] in _LETTER:
+        return False
+    return right >= (1 if c == "ⁿ" else 3 if c in "ΘΓΩ" else 99 if c in "ΔΣΠµμ" else 5)
+
+
 @lru_cache(maxsize=200_000)
 def cost(word: str) -> float:
     """How implausible a word's characters and their neighbours are; 0 for ordinary text of any language."""
@@ -122,6 +145,10 @@ def cost(word: str) -> float:
             total += 1.0
         if x == "g":
             total += 1.5 * sum(y in _LATIN or y in _CYR for y in (before, after)) * (1.0 if inside else 0.6)
+        if (x == "g" or c in "Ωⁿ") and _glued(word, k, i):
+            total += 1.1
+        if c == "ß" and (before in _LATIN and word[i - 1] not in _VOWELS or before not in _LETTER and after in "ae"):
+            total += 2.0  # it follows vowels only
         if x in "cC":
             total += 2.0 * sum(y in _LATIN for y in (before, after))
             if x == "C" and before == "c":
@@ -131,7 +158,7 @@ def cost(word: str) -> float:
             if after in "stzb" or (after == "q" and word[i + 1] in "‚„‹›…“‘"):
                 total += 1.0
         if x == "b":
-            glued = 2.0 if 0x2550 <= o <= 0x256C or o >= 0x2580 else 1.25  # double lines and blocks are rarer than tree lines
+            glued = 2.0 if 0x2550 <= o <= 0x256C or o >= 0x2580 or c in "┴┬┼" else 1.25  # double lines, crossings and blocks are rarer than tree lines
             total += glued * sum(y in _LETTER or y in "ks" for y in (before, after))
         if c == "¬" and n <= 2:
             total += 0.5
@@ -145,7 +172,7 @@ def cost(word: str) -> float:
             dot = c == "·" and word[i - 1 : i + 2].lower() != "l·l"
             total += (2.0 if dot else 1.5 if c != "·" else 0.0) * inside + (1.0 if before in "z" or after in "z" else 0.0) + (0.6 if before in "E" else 0.0)
         if x == "m":
-            total += 2.0 if inside else 1.0 if before in _LETTER or before in "sz" else 0.0
+            total += 1.0 if c == "Ω" and before not in _LETTER and _glued(word, k, i) else 2.0 if inside else 1.0 if before in _LETTER or before in "sz" else 0.0
         if c in "\u2013\u2014\u2026" and inside:
             total += 0.3
         if x == "q" and c not in "’ ​­–—…":
@@ -281,12 +308,13 @@ def _neighbours(word: str, pages: bool):
 def search(word: str) -> tuple[str, float, str, bool]:
     """The cheapest reachable text: (text, gain over the word, changes, whether the evidence is valid UTF-8).
 
-    Changes between pages are tried only if no state that is valid UTF-8 is better, and only on implausible words.
+    Changes between pages are tried only if no state that is valid UTF-8 is better, and only on words of at
+    least PAGE_COST: no gain is more than the word's own cost.
     """
     start = html.unescape(word) if "&" in word else word
     base = cost(start)
     for pages in (False, True):
-        if pages and base < 1.0:
+        if pages and base < PAGE_COST:
             break
         seen, best = {start}, (base, start, ())
         heap: list = [(base, 0, start, ())]

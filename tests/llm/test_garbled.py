@@ -51,6 +51,16 @@ def test_cyrillic_pages_are_told_apart(pages):
     assert hit and same >= 0.8 * len(TEXTS[5].split())
 
 
+@pytest.mark.parametrize("word", ["café", "probaré", "está", "más", "citará", "voilà", "über", "también", "você", "école", "ágil", "être", "índice", "Éveil", "canción", "español", "dragón", "CAFÉ"])
+def test_one_word_read_as_cp437_is_found(word):
+    assert g.examine(f"All is well, {word.encode('cp1252').decode('cp437')} so far.")[:3] == (True, f"All is well, {word} so far.", True)
+
+
+@pytest.mark.parametrize("text", ["groß, größer, gemäß, Fuß, STRAßE, ß", "sinθ, cosφ, Δx, Δtime, Σvalue, xα, 10kΩ, MΩ, Ωcm, σmax, TNFα", "El cañón de la compañía, cañón, cañón, cañón", "a note‡ and † another·", "└── a ┬ b ┴ c ┼"])
+def test_correct_letters_that_look_like_another_page(text):
+    assert g.examine(text)[:2] == (False, text)
+
+
 def test_part_of_a_text_and_lost_characters():
     assert g.examine("All is well. " + garble("Déjà vu", "cp1252") + " and more é.")[1] == "All is well. Déjà vu and more é."
     assert g.examine("don�t")[:3] == (True, "don�t", False)

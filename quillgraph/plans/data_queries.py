@@ -58,8 +58,14 @@ def p7_whole_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return _whole(spark, d, recorded="node_depth")
 
 
+def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node, also of those on and below cycles."""
+    tree = hierarchy.materialize(_whole(spark, d, with_path=False))
+    return hierarchy.descendants(tree, tree)
+
+
 QUERIES = {
-    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants, p7_whole_hierarchy)
+    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants, p7_whole_hierarchy, p7_descendants)
 }
 
 _NODES = """
@@ -147,4 +153,10 @@ SELECT t.node_key, t.parent_key, w.root_key, w.depth, CASE WHEN c.head IS NULL T
             WHEN t.had_parent THEN 'orphan' ELSE 'top' END AS status,
        CASE WHEN c.head IS NULL THEN b.height = t.recorded END AS height_matches
 FROM tree t LEFT JOIN walk w USING (node_key) LEFT JOIN cyc c USING (node_key) JOIN pos p USING (node_key) LEFT JOIN below b ON b.head = coalesce(c.head, t.node_key)""",
+    "p7_descendants": f"""
+WITH RECURSIVE {_NODES},
+down(ancestor_key, node_key) AS (
+  SELECT parent_key, node_key FROM tree WHERE parent_key IS NOT NULL
+  UNION SELECT d.ancestor_key, t.node_key FROM tree t JOIN down d ON t.parent_key = d.node_key)
+SELECT ancestor_key, node_key FROM down WHERE node_key <> ancestor_key""",
 }

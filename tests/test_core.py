@@ -141,6 +141,15 @@ def test_nodes_on_and_below_cycles_have_heights_and_descendants(spark, seed, mon
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(k, b) for k, v in below.items() for b in v - {k}}
 
 
+def test_descendants_of_every_node_are_listed(spark, tmp_path):
+    import __spark_entry__
+
+    up = {1: None, 2: 1, 3: 2, 5: 6, 6: 5, 7: 6, 8: 7}
+    spark.createDataFrame(list(up.items()), "node_key long, parent_key long").write.parquet(f"{tmp_path}/class_nodes.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()["p7_descendants"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 2), (1, 3), (2, 3), (5, 6), (5, 7), (5, 8), (6, 5), (6, 7), (6, 8), (7, 8)]
+
+
 def test_hierarchy_of_nothing_and_of_a_long_chain(spark):
     df = spark.createDataFrame([], "id long, up long")
     assert hierarchy.hierarchy(df, "id", "up").count() == 0 and hierarchy.cycle_nodes(df, "id", "up").count() == 0

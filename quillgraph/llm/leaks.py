@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Which words of a window count (1) and which are ignored (0). The first ignores none: a passage of 20 words with two
-#: edits, or of 30 with three, always has six words in a row unchanged, so no case is lost even if words were added
-#: or dropped; the others lie across changed words.
+#: edits, or of 30 with three, always has six words in a row unchanged, also where words were added
+#: or dropped, and so has a whole item of 12 to 19 words with one edit; the others lie across changed words.
 MASKS = ("111111", "11101011", "110011011")
+#: Of a whole item of 10 or 11 words with one edit only five words in a row are sure to be unchanged.
+SHORT_MASK, SHORT_WORDS = "11111", (10, 11)
 #: Words of a passage, and one edit is allowed for so many of them.
 PASSAGE = 20
 PER_EDIT = 10
@@ -123,10 +125,11 @@ class Index:
             ids = np.array(w, np.int64)
             if len(w) < len(MASKS[0]):
                 self.short[w[0]].append(k)
-            for m, mask in enumerate(MASKS):
+            for m, mask in enumerate((*MASKS, SHORT_MASK) if len(w) in SHORT_WORDS else MASKS):
                 at, h = _seeds(ids, mask)
                 hashes.append(h ^ np.uint64(m))
                 where.append(np.stack([np.full(len(at), k), at], 1))
+        self.masks = (*MASKS, SHORT_MASK) if any(len(w) in SHORT_WORDS for _, w in self.items) else MASKS
         h = np.concatenate(hashes) if hashes else np.array([], np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
@@ -139,7 +142,7 @@ class Index:
         start = np.cumsum([0, *(len(d) + len(gap) for d in docs)])
         flat = np.array([x for d in docs for x in (*d, *gap)], np.int64)
         hits: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(self.masks):
             at, h = _seeds(flat, mask)
             h = h ^ np.uint64(m)
             lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")

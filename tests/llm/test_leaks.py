@@ -54,6 +54,14 @@ def test_against_the_definition(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("n", range(10, 20))
+def test_short_items_with_one_edit_anywhere(n):
+    w = [f"w{i}" for i in range(n)]
+    docs = [[*w[:i], *new, *w[i + cut :]] for i in range(n) for new, cut in (([], 1), (["x"], 1), (["x"], 0))]
+    got = leaks.Index([(7, " ".join(w))]).find([" ".join(["a", *d, "b"]) for d in docs])
+    assert sorted(got) == [(k, 7) for k in range(len(docs))]
+
+
 ITEM = "Explain briefly why uneven mixer copies Delber in case 115. Table 128 lists Haxvel as cracked, hedge as heavy. Pupils patched 213 bucket cards, Murber profiled 237."
 
 

@@ -304,6 +304,13 @@ def _neighbours(word: str, pages: bool):
                         yield f"{w} read as {r}", new
 
 
+def _unescape(word: str) -> str:
+    """The word with its character references resolved, also those that were escaped again."""
+    while "&" in word and (new := html.unescape(word)) != word:
+        word = new
+    return word
+
+
 @lru_cache(maxsize=100_000)
 def search(word: str) -> tuple[str, float, str, bool]:
     """The cheapest reachable text: (text, gain over the word, changes, whether the evidence is valid UTF-8).
@@ -311,7 +318,7 @@ def search(word: str) -> tuple[str, float, str, bool]:
     Changes between pages are tried only if no state that is valid UTF-8 is better, and only on words of at
     least PAGE_COST: no gain is more than the word's own cost.
     """
-    start = html.unescape(word) if "&" in word else word
+    start = _unescape(word)
     base = cost(start)
     for pages in (False, True):
         if pages and base < PAGE_COST:
@@ -361,7 +368,7 @@ def _words(text: str):
 def _step(word: str, change: str) -> str | None:
     """A state after one change by its name; None if it doesn't apply."""
     if change == "unescape":
-        return html.unescape(word)
+        return _unescape(word)
     if change == "lost space":
         return word + "\xa0" if word[-1:] in "Ãà" else word
     written, page = change.split(" read as ")
@@ -390,7 +397,7 @@ def examine(text: str | None) -> tuple[bool, str | None, bool, str]:
     by_way: dict[str, float] = {}
     utf8_hit, page_best = False, 0.0
     for at, w in _words(text):
-        plain = html.unescape(w) if "&" in w else w
+        plain = _unescape(w)
         if plain.isascii():
             continue
         lost |= "\ufffd" in plain

@@ -61,6 +61,12 @@ def test_correct_letters_that_look_like_another_page(text):
     assert g.examine(text)[:2] == (False, text)
 
 
+def test_references_that_were_escaped_again():
+    assert g.examine("a caf&amp;Atilde;&amp;copy; here")[:3] == (True, "a café here", True)
+    assert g.examine("a caf&amp;amp;#195;&amp;amp;#169; here")[:2] == (True, "a café here")
+    assert not g.examine("a caf&amp;eacute; &amp;lt;b&amp;gt; here")[0]
+
+
 def test_part_of_a_text_and_lost_characters():
     assert g.examine("All is well. " + garble("Déjà vu", "cp1252") + " and more é.")[1] == "All is well. Déjà vu and more é."
     assert g.examine("don�t")[:3] == (True, "don�t", False)

@@ -24,22 +24,36 @@ PER_EDIT = 10
 #: Seeds of the evaluation items that are sent to all tasks at once; more items are taken in blocks.
 BLOCK_SEEDS = 2_000_000
 
-_TAG = regex.compile(r"</?[a-zA-Z!][^<>\n]{0,200}>|<!--.{0,2000}?-->", regex.S)
-_LINK = regex.compile(r"\]\([^()\s]{0,500}\)")
+# A tag of one line and 200 characters is taken as it is; a longer one must have the syntax of attributes, as prose and code
+# hold < and > too. No part but a link's target goes beyond the next <, so the time is linear.
+_TAG = regex.compile(
+    r"""</?[a-zA-Z!][^<>\n]{0,200}>|</?[a-zA-Z][\w:-]*+(?:\s++(?:[\w:@.-]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++)"""
+    r"""|(?:checked|disabled|selected|hidden|async|defer|required|readonly|multiple|controls|autoplay|loop|muted|nowrap)(?![\w=-])))*+\s*+/?>"""
+)
+_LINK = regex.compile(r"\]\([^()\s]*+\)")
 _PREFIX = regex.compile(r"^[ \t]*(?:(?:>|--|//|#+|\*|-|\+|•|;|%|\|)[ \t]*)+", regex.M)
 _INVISIBLE = regex.compile(r"[­​-‏⁠﻿]")
 _APOSTROPHE = regex.compile(r"(?<=\p{L})['’](?=\p{L})")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[^\W_\p{Han}\p{Hiragana}\p{Katakana}]+")
 
 
+def _untagged(text: str) -> str:
+    """The text without comments and tags; a comment that isn't closed is text."""
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (z := text.find("-->", a + 4)) >= 0:
+        out += [text[at:a], " "]
+        at = z + 3
+    return _TAG.sub(" ", "".join([*out, text[at:]]))
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text without case, punctuation, markup, line prefixes and invisible characters."""
     if not text:
         return []
-    t = _TAG.sub(" ", text) if "<" in text else text
+    t = _untagged(text) if "<" in text else text
     if "&" in t:
         t = html.unescape(t)
-        t = _TAG.sub(" ", t) if "<" in t else t
+        t = _untagged(t) if "<" in t else t
     if not t.isascii():
         t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
     t = _LINK.sub("]", t) if "](" in t else t

@@ -54,6 +54,17 @@ def test_against_the_definition(seed):
     assert got == want
 
 
+def test_markup_of_any_length_is_removed():
+    long = "w " * 3000
+    for mark in (f'<a title="{long}" href=x>', f"<img\n alt='{long}'\n hidden/>", f"<!-- {long}\n-->"):
+        assert leaks.words(f"one {mark} two") == ["one", "two"]
+    assert leaks.words(f"[one](http://x/{'w-' * 3000}) two") == ["one", "two"]
+    assert len(leaks.words(f"i <b and {long} > c")) == 3004  # no tag
+    assert leaks.words("<!-- one") == ["one"]
+    for part in ("<a b='", "<!-- ", "](", '<a b="c" '):
+        leaks.words(part * 100_000)  # takes long unless it is linear
+
+
 @pytest.mark.parametrize("n", range(10, 20))
 def test_short_items_with_one_edit_anywhere(n):
     w = [f"w{i}" for i in range(n)]

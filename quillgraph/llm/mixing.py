@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from quillgraph.operators.prefix import prefix_sums
 from quillgraph.session import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this public vocabulary cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -26,7 +25,7 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def with_token_counts(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
     """``df`` with ``n_tokens`` instead of the text; null texts have none."""
     kept = [c for c in df.columns if c != text]
     src = df.select(*kept, text)
@@ -125,16 +124,32 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     return total, {k: f.edges[e ^ 1][1] for k, e in marks.items() if f.edges[e ^ 1][1] > 0}
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """The sample (doc_id, source, copies, n_tokens) and a report per source.
+def by_text(docs: DataFrame) -> DataFrame:
+    """(key, pattern, ids, n_tokens) of documents (doc_id, source, key, n_tokens), each of them in one row.
 
-    Texts that are the same count once per source, and belong to all target sources they occur in (the pattern). The few
-    patterns (at most 2^sources, checked) are summed up, the flow is solved on the driver, and the documents of a pattern are laid out in the
-    order of a seeded hash; each source takes the documents whose middle token lies in its stretch, separately for each copy. So shares
-    are met up to one document per stretch, and no text is repeated more often than its source allows, nor more often in all than the most
-    its sources allow. ``doc_id`` is the least id of the text in its source.
+    The least document of a text in each source stand together in one row, whose pattern is these sources: they are what the sources
+    have in common. Every further document of that text in a source is a row of its own, of that source only. So a row has at most one
+    document of a source, however many copies of a text there are, and none is lost.
+    """
+    first = docs.groupBy("key", "source").agg(F.min(F.struct("doc_id", "n_tokens")).alias("x"))
+    ids = F.map_from_entries(F.collect_list(F.struct("source", F.col("x.doc_id")))).alias("ids")
+    shared = first.groupBy("key").agg(F.sort_array(F.collect_set("source")).alias("pattern"), ids, F.max("x.n_tokens").alias("n_tokens"))
+    more = docs.join(first.select("key", "source", F.col("x.doc_id").alias("doc_id")), ["key", "source", "doc_id"], "left_anti")
+    own = more.select(F.concat("key", F.lit("/"), F.col("doc_id").cast("string")).alias("key"), F.array("source").alias("pattern"), F.create_map("source", "doc_id").alias("ids"), "n_tokens")
+    return shared.unionByName(own)
+
+
+def mix(docs: DataFrame, targets: DataFrame, *, tokenizer: str, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The sample (doc_id, source, copies, n_tokens) and a report per source; ``tokenizer`` is the path of a vocabulary file.
+
+    Documents with the same text belong to all target sources that hold it (the pattern, see :func:`by_text`). The few
+    patterns (at most 2^sources, checked) are summed up, the flow is solved on the driver, and the rows of a pattern are laid out in the
+    order of a seeded hash; each source takes the rows whose middle token lies in its stretch, separately for each copy. So shares
+    are met up to one document per stretch, and no document is taken more often than its source allows. All documents can be taken, also
+    those whose text another one has.
 
-    Repeated ids count once; null ids, texts or sources and unknown sources are left out, as are empty texts (no tokens); targets without
+    Repeated ids count once: of several rows of a ``doc_id`` with different sources or texts the one of the least (source, hash of the text)
+    is the document. Null ids, texts or sources and unknown sources are left out, as are empty texts (no tokens); targets without
     documents can't be filled: the sample is empty if any such target has a share, unless ``total`` is given, which is filled as far as possible.
     """
     goal = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").collect()}
@@ -143,9 +158,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("source").isin(list(goal)))
     # Tokens are counted where the texts are read: no text is shuffled, only its hash and size.
     keyed = with_token_counts(usable.select("doc_id", "source", F.md5("text").alias("key"), "text"), "text", tokenizer).where(F.col("n_tokens") > 0)
-    per = keyed.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
-    ids = F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("ids")
-    sized = materialize(per.groupBy("key").agg(F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set("source")).alias("pattern"), ids))
+    one = materialize(keyed.groupBy("doc_id").agg(F.min(F.struct("source", "key", "n_tokens")).alias("x")).select("doc_id", "x.*"))
+    sized = materialize(by_text(one))
     groups = sized.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(100_001).collect()
     if len(groups) > 100_000:
         raise ValueError("more than 100000 membership patterns")

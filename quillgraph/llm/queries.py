@@ -72,12 +72,20 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+#: Vocabulary file that problem 9 counts tokens with.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)
+
+
 def p9_mix_sample(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return _p9(spark, d)[0]
 
 
 def p9_mix_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return _p9(spark, d)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

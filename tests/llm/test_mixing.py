@@ -4,8 +4,9 @@ import random
 import pytest
 
 from quillgraph.llm import mixing
+from quillgraph.llm.queries import TOKENIZER
 
-needs_tokenizer = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer file")
+needs_tokenizer = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 GOAL = "source string, target_share double, max_repeats int"
 
 
@@ -32,7 +33,7 @@ def test_sample_meets_shares_and_caps(spark):
     rows += rows[:30] + [(5000, None, "a"), (None, "x", "a"), (5001, "", "a"), (5002, rows[0][1], "b")]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, source string, copies int")
     goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 3), (None, 0.1, 1)], GOAL)
-    sample, report = mixing.mix(docs, goal)
+    sample, report = mixing.mix(docs, goal, tokenizer=TOKENIZER)
     got = sample.collect()
     caps = {"a": 1, "b": 4, "c": 3}
     text_of, sources = {}, {}
@@ -46,9 +47,9 @@ def test_sample_meets_shares_and_caps(spark):
     assert all(abs(t - a) < 0.02 for t, a in shares.values())
     total = sum(x.copies * x.n_tokens for x in got)
     assert abs(total - report.first().planned_tokens) < 0.03 * total
-    again = mixing.mix(docs.orderBy("text"), goal)[0].collect()
+    again = mixing.mix(docs.orderBy("text"), goal, tokenizer=TOKENIZER)[0].collect()
     assert set(map(tuple, again)) == set(map(tuple, got))
-    other = mixing.mix(docs, goal, total=800, seed=1)[0].collect()
+    other = mixing.mix(docs, goal, tokenizer=TOKENIZER, total=800, seed=1)[0].collect()
     assert abs(sum(x.copies * x.n_tokens for x in other) - 800) < 120
 
 
@@ -56,5 +57,30 @@ def test_sample_meets_shares_and_caps(spark):
 def test_nothing_to_mix(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     goal = spark.createDataFrame([("a", 1.0, 1)], GOAL)
-    sample, report = mixing.mix(docs, goal)
+    sample, report = mixing.mix(docs, goal, tokenizer=TOKENIZER)
     assert sample.count() == 0 and [r.tokens for r in report.collect()] == [0]
+
+
+@needs_tokenizer
+def test_a_document_with_two_texts_or_sources_is_one_and_copies_of_a_text_are_all_used(spark):
+    rows = [(1, "alpha one two", "a"), (1, "beta one two", "a"), (1, "beta one two", "b"), (2, "same text here", "a"), (3, "same text here", "a"), (4, "same text here", "b"), (5, "same text here", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 2)], GOAL)
+    sample, report = mixing.mix(docs, goal, tokenizer=TOKENIZER)
+    got = {(x.doc_id, x.source): x.copies for x in sample.collect()}
+    assert got == {(1, "a"): 1, (2, "a"): 1, (3, "a"): 1, (5, "a"): 1, (4, "b"): 1} or got == {(2, "a"): 1, (3, "a"): 1, (5, "a"): 1, (4, "b"): 1}
+    assert all(n <= {"a": 1, "b": 2}[s] for (_, s), n in got.items())
+
+
+@needs_tokenizer
+def test_caps_hold_for_every_document_of_a_hot_text(spark):
+    r = random.Random(2)
+    rows = [(i, "hot text of many copies" if i % 3 == 0 else f"text number {i} {r.random()}", r.choice(["a", "a", "b"])) for i in range(600)]
+    rows += [(i, f"another text for {i}", "b") for i in range(0, 600, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], GOAL)
+    got = mixing.mix(docs, goal, tokenizer=TOKENIZER)[0].collect()
+    held = {(i, s) for i, _, s in rows}
+    assert all((x.doc_id, x.source) in held and x.copies <= {"a": 2, "b": 3}[x.source] for x in got)
+    assert len({x.doc_id for x in got}) == len(got)  # one source for each document
+    assert len({x.doc_id for x in got if x.doc_id % 3 == 0}) > 150

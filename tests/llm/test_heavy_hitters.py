@@ -25,3 +25,19 @@ def test_empty_and_ties(spark):
     assert hh.frequent_terms(spark.createDataFrame([], "term string"), "term", 250).count() == 0
     df = spark.createDataFrame([(x, 1) for x in "aabbcc"], "term string, estimate int")
     assert [r.term for r in hh.top_terms(df, "term", 2, 3).collect()] == ["a", "b"]
+
+
+def test_none_is_missed_however_many_are_sought(spark):
+    rows = [f"w{i % 3000}" for i in range(60_000)] + [f"rare{i}" for i in range(60_000)]
+    df = spark.createDataFrame([(x,) for x in rows], "term string")
+    for share in (250, 2000, 8000, 10_000):
+        want = {t: n for t, n in Counter(rows).items() if n * share >= len(rows)}
+        assert {r.term: r.n_rows for r in hh.frequent_terms(df, "term", share).collect()} == want
+    assert len(want) == 3000
+
+
+def test_a_wider_sketch_is_made_where_the_first_is_too_coarse(spark):
+    df = spark.createDataFrame([(f"w{i % 4000}",) for i in range(40_000)] + [("hot",)] * 400 + [("warm",)] * 120, "term string")
+    prefixes, guess, total, _ = hh._descend(df, "term", 400, 1 << 8, 1 << 16)
+    assert prefixes is not None and total == 40_520 and sum(guess >= 0.5 * total / 400) >= 2
+    assert hh._descend(df, "term", 400, 1 << 8, 1 << 9)[0] is None

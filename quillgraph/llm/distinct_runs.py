@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialize
+from quillgraph.session import materialize, parallelism
 
 #: Rows that are turned into runs at once.
 CHUNK_ROWS = 400_000
 #: Entries a bucket should hold at most.
 BUCKET_ENTRIES = 1_500_000
+#: Entries below which a bucket isn't worth a task of its own.
+FEW_ENTRIES = 50_000
 #: Entries of one identifier in a chunk from which its entries are first united by group, in SPREAD parts.
 HEAVY_ENTRIES = 4_000
 SPREAD = 64
@@ -205,17 +207,46 @@ def united(state: DataFrame) -> DataFrame:
     return state.where(F.col("part") < 0).unionByName(heavy)
 
 
+def _split_run(r: dict, dims: int, bits: int) -> list[dict]:
+    """A run cut at the borders of finer buckets; its hashes are sorted, so each piece is a stretch of it."""
+    h = decode_run(r["run"])
+    codes = [np.frombuffer(r[f"c{i}"], _width(len(r[f"v{i}"]))) for i in range(dims)]
+    values = [np.array([*r[f"v{i}"], None], object)[:-1] for i in range(dims)]
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(h)]
+    return [
+        {"member": r["member"], "bits": bits, "bucket": int(bucket[a]), "part": r["part"]} | _pack(h[a:z], [c[a:z] for c in codes], values)
+        for a, z in itertools.pairwise(edges)
+    ]
+
+
+def rebucket(state: DataFrame, bits: int) -> DataFrame:
+    """The same entries in 2^bits buckets: finer runs are only renamed, coarser ones cut at the borders."""
+    k = _dims(state)
+    fine = state.where(F.col("bits") >= bits).withColumn("bucket", F.expr(f"shiftright(bucket, bits - {int(bits)})")).withColumn("bits", F.lit(bits).cast("int"))
+
+    def cut(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from _rows(_split_run(b.slice(i, 1).to_pylist()[0], k, bits), k).to_batches()
+
+    return fine.unionByName(state.where(F.col("bits") < bits).mapInArrow(cut, _schema(k)))
+
+
 def merge_runs(*states: DataFrame) -> DataFrame:
-    """One state of several, with one run per identifier column and bucket; the coarsest buckets of all are used."""
+    """One state of several, with one run per identifier column and bucket.
+
+    The buckets are as many as the entries of all states together need, however few each state had: so many small loads
+    merge into buckets that a task can hold.
+    """
     k = _dims(states[0])
     if len({_dims(s) for s in states}) > 1:
         raise ValueError("the states differ in dimensions")
     both = states[0]
     for s in states[1:]:
         both = both.unionByName(s)
-    bits = both.agg(F.min("bits")).first()[0]
-    both = both.withColumn("bucket", F.col("bucket") / F.pow(F.lit(2.0), F.col("bits") - F.lit(bits))).withColumn("bucket", F.floor("bucket").cast("int"))
-    both = both.withColumn("bits", F.lit(bits).cast("int"))
+    most = both.groupBy("member").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    both = rebucket(both, bucket_bits(most, parallelism(both.sparkSession)))
     return united(both).groupBy("member", "bucket").applyInArrow(lambda t: _unite(t, k), _schema(k))
 
 
@@ -262,9 +293,13 @@ def count_distinct(state: DataFrame, members: list[str]) -> DataFrame:
     return total.withColumns({k: F.when(F.col(k.replace("collisions", "n")) > 0, v).otherwise(0.0) for k, v in wrong.items()})
 
 
-def bucket_bits(rows: int) -> int:
-    """Bits of the hash that name the bucket, for an input of so many rows."""
-    return max(3, math.ceil(math.log2(max(1, rows) / BUCKET_ENTRIES)) if rows > BUCKET_ENTRIES else 0)
+def bucket_bits(rows: int, tasks: int = 8) -> int:
+    """Bits of the hash that name the bucket, for an input of so many rows.
+
+    No bucket gets more than BUCKET_ENTRIES of them, and there are as many buckets as tasks unless they would have fewer than FEW_ENTRIES.
+    """
+    buckets = max(rows / BUCKET_ENTRIES, min(tasks, rows / FEW_ENTRIES), 8)
+    return math.ceil(math.log2(buckets))
 
 
 def distinct_counts(df: DataFrame, dims: dict[str, Column], members: dict[str, Column], parts: Column | None = None) -> DataFrame:
@@ -275,7 +310,7 @@ def distinct_counts(df: DataFrame, dims: dict[str, Column], members: dict[str, C
     rows change nothing; texts are hashed whole; an empty input gives an empty result. Only the columns named are
     read. See :func:`count_distinct` for the result.
     """
-    bits = bucket_bits(df.count())
+    bits = bucket_bits(df.count(), parallelism(df.sparkSession))
     if parts is None:
         state = materialize(build_runs(df, list(dims.values()), members, bits))
     else:

@@ -65,7 +65,19 @@ def test_states_of_different_bucket_sizes_merge(spark):
     merged = dr.merge_runs(*states)
     got = dr.count_distinct(merged, ["s", "o"]).withColumnsRenamed({"d0": "d", "d1": "g"})
     assert counts(got) == plain(list(itertools.chain(*rows)))
-    assert merged.count() <= 16
+    assert merged.groupBy("member", "bucket").count().where("count > 1").count() == 0
+
+
+def test_many_small_loads_merge_into_buckets_that_a_task_can_hold(spark, monkeypatch):
+    monkeypatch.setattr(dr, "BUCKET_ENTRIES", 150)
+    rows = [make(120, i) + [("d1", "a", f"own{i}-{k}", f"t{i}-{k}") for k in range(60)] for i in range(50)]
+    dims, members = [F.col("d"), F.col("g")], {"s": F.col("s"), "o": F.col("o")}
+    load = spark.createDataFrame([(i, *x) for i, part in enumerate(rows) for x in part], "load int, d string, g string, s string, o string").repartition(10, "load")
+    state = dr.materialize(dr.build_runs(load, dims, members, 3))
+    merged = dr.materialize(dr.merge_runs(*[state.where(F.spark_partition_id() % 2 == k) for k in (0, 1)]))
+    most = merged.agg(F.max("n"), F.min("bits")).first()
+    assert most[0] <= 4 * 150 and most[1] >= 5
+    assert counts(dr.count_distinct(merged, ["s", "o"]).withColumnsRenamed({"d0": "d", "d1": "g"})) == plain(list(itertools.chain(*rows)))
 
 
 def test_empty_and_only_nulls(spark):

@@ -3,7 +3,9 @@
 An entry is a byte range of a file and consists of whole lines. Its lines are packed into blocks of BLOCK bytes, so
 an entry of any size is spread over tasks. Where a piece starts depends on the one before, so each block is walked
 from every state in which a walk can enter it (a few dozen; most walks join another after a few pieces), the blocks'
-maps from entering to leaving state are composed in one stream over the blocks, and then each block emits its pieces.
+maps from entering to leaving state are composed, and then each block emits its pieces. Blocks are composed in stretches of
+STRETCH, and then the stretches, so that no task sees all blocks of an entry. A block learns of its neighbours by messages to the
+blocks beside it, not by a window over the entry.
 """
 
 from __future__ import annotations
@@ -12,14 +14,18 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.hierarchy import lookup
+from quillgraph.operators.prefix import prefix_sums
 from quillgraph.session import materialize, parallelism
 
 LIMIT = 4096
 OVERLAP = 256
 BLOCK = 1 << 20
+#: Blocks whose maps one task composes.
+STRETCH = 4096
 
 
 def assign_lines(entries: DataFrame, lines: DataFrame, block: int, long: int) -> DataFrame:
@@ -134,6 +140,13 @@ class Walk:
         self.line_starts, self.bounds = starts, ends
         self.memo: dict = {}
 
+    @classmethod
+    def of(cls, starts: list[int], text: dict[int, bytes]) -> Walk:
+        """Only what :meth:`char_start` needs."""
+        own = cls.__new__(cls)
+        own.line_starts, own.lines = starts, text
+        return own
+
     def char_start(self, at: int) -> int:
         """``at``, moved back to the start of the character it is in."""
         i = bisect_right(self.line_starts, at) - 1
@@ -192,21 +205,36 @@ class Walk:
         return [x for x in dict.fromkeys(states) if x[0] >= first and x[1] < self.end and not self.leaves(x)]
 
 
-_MAPS = "entry_id long, block long, first long, next_first long, start_b long, in_s array<long>, in_e array<long>, out_s array<long>, out_e array<long>, n array<long>"
+_MAPS = "entry_id long, block long, seq long, first long, next_first long, start_b long, in_s array<long>, in_e array<long>, out_s array<long>, out_e array<long>, n array<long>"
 _PIECES = "entry_id long, piece_no long, piece_start long, piece_end long"
+_STARTS = "entry_id long, block long, s long, e long, number long"
+
 
+def _with_context(packed: DataFrame, limit: int) -> DataFrame:
+    """The blocks of entries of more than ``limit`` bytes, each with what its walk needs of its neighbours in the entry.
 
-def _with_context(packed: DataFrame) -> DataFrame:
-    """Each block with what its walk needs of its neighbours in the entry; the window sees slim rows only."""
-    w = Window.partitionBy("entry_id").orderBy("block")
-    whole = Window.partitionBy("entry_id")
-    slim = packed.select(
-        "entry_id", "block", F.lead("first").over(w).alias("next_first"), F.max("last").over(whole).alias("end"), F.min("first").over(whole).alias("start_b"), F.sum("n_bytes").over(whole).alias("entry_bytes"),
-        F.lead("head_b").over(w).alias("h1b"), F.lead("head_e").over(w).alias("h1e"), F.lead("head_long_at").over(w).alias("h1at"), F.lead("head_long_text").over(w).alias("h1text"),
-        F.lead("head_b", 2).over(w).alias("h2b"), F.lead("head_e", 2).over(w).alias("h2e"), F.lead("head_long_at", 2).over(w).alias("h2at"), F.lead("head_long_text", 2).over(w).alias("h2text"),
-        F.concat(F.coalesce(F.lag("tail", 2).over(w), F.array().cast("array<bigint>")), F.coalesce(F.lag("tail").over(w), F.array().cast("array<bigint>"))).alias("before"),
+    Blocks are numbered within their entry by running sums, and each sends its first lines to the two blocks before and its last
+    ones to the two after it. What is the same for a whole entry is looked up, also where one entry has most blocks.
+    """
+    whole = packed.groupBy("entry_id").agg(F.max("last").alias("end"), F.min("first").alias("start_b"), F.sum("n_bytes").alias("entry_bytes"))
+    whole = materialize(whole.where((F.col("entry_bytes") > limit) & (F.col("end") - F.col("start_b") > limit)))
+    slim = lookup(packed.select("entry_id", "block", F.lit(1).alias("one")), whole, "entry_id").where(F.col("end").isNotNull())
+    ranked = materialize(prefix_sums(slim, "entry_id", [F.col("block")], "one", "seq").drop("one"))
+    own = packed.join(ranked, ["entry_id", "block"])
+    head = ["head_b", "head_e", "head_long_at", "head_long_text"]
+    to = F.explode(F.array(*[F.lit(x).cast("long") for x in (-2, -1, 1, 2)])).alias("to")
+    sent = own.select("entry_id", "seq", to, "first", "last", *head, "tail").select(
+        "entry_id", (F.col("seq") + F.col("to")).alias("seq"), "to",
+        *[F.when(F.col("to") < 0, F.col(c)).alias(c) for c in ("first", *head)], *[F.when(F.col("to") > 0, F.col(c)).alias(c) for c in ("tail", "last")],
     )
-    return packed.select("entry_id", "block", "first", "starts", "ends", "long_at", "long_text").join(slim, ["entry_id", "block"])
+    got = lambda c, d: F.max(F.when(F.col("to") == d, F.col(c)))
+    empty = F.array().cast("array<bigint>")
+    near = sent.groupBy("entry_id", "seq").agg(
+        got("first", -1).alias("next_first"), got("last", 1).alias("before_end"),
+        *[got(c, d).alias(f"h{-d}{n}") for d in (-1, -2) for c, n in zip(head, ("b", "e", "at", "text"))],
+        F.concat(F.coalesce(got("tail", 2), empty), F.coalesce(got("tail", 1), empty)).alias("before"),
+    )
+    return own.select("entry_id", "block", "seq", "first", "last", "starts", "ends", "long_at", "long_text", "end", "start_b", "entry_bytes").join(near, ["entry_id", "seq"], "left")
 
 
 def _records(batches):
@@ -229,37 +257,20 @@ def split_entries(entries: DataFrame, lines: DataFrame, *, limit: int = LIMIT, o
     if block <= 2 * limit or overlap >= limit - 8:
         raise ValueError("a block must hold two pieces, and a piece more than the overlap")
     packed = materialize(pack_blocks(assign_lines(entries, lines, block, limit - overlap - 8), limit, overlap))
-    blocks = materialize(_with_context(packed).where((F.col("entry_bytes") > limit) & (F.col("end") - F.col("start_b") > limit)))
+    blocks = materialize(_with_context(packed, limit))
 
     def maps(batches):
         def rows():
             for r in _records(batches):
                 walk = Walk(r, limit, overlap)
-                states = [(r["start_b"], r["start_b"])] if r["first"] == r["start_b"] else walk.entering(r["before"])
+                states = [(r["start_b"], r["start_b"])] if r["first"] == r["start_b"] else walk.entering(r["before"] or [])
                 outs = [walk.through(s) for s in states]
-                yield {k: r[k] for k in ("entry_id", "block", "first", "next_first", "start_b")} | {
+                yield {k: r[k] for k in ("entry_id", "block", "seq", "first", "next_first", "start_b")} | {
                     "in_s": [s for s, _ in states], "in_e": [e for _, e in states], "out_s": [o[0] if o else None for o, _ in outs], "out_e": [o[1] if o else None for o, _ in outs], "n": [n for _, n in outs],
                 }
 
         yield from _in_rows(_MAPS, rows())
 
-    def compose(batches):
-        def rows():
-            entry, state, number = None, None, 1
-            for r in _records(batches):
-                if r["entry_id"] != entry:
-                    entry, state, number = r["entry_id"], (r["start_b"], r["start_b"]), 1
-                if state is None or (r["next_first"] is not None and state[0] >= r["next_first"]):
-                    continue
-                yield {"entry_id": entry, "block": r["block"], "s": state[0], "e": state[1], "number": number}
-                i = next((i for i, x in enumerate(zip(r["in_s"], r["in_e"])) if x == state), None)
-                if i is None:
-                    raise RuntimeError(f"entry {entry} enters block {r['block']} in a state that wasn't walked")
-                number += r["n"][i]
-                state = None if r["out_s"][i] is None else (r["out_s"][i], r["out_e"][i])
-
-        yield from _in_rows("entry_id long, block long, s long, e long, number long", rows(), 4096)
-
     def emit(batches):
         def rows():
             for r in _records(batches):
@@ -272,11 +283,83 @@ def split_entries(entries: DataFrame, lines: DataFrame, *, limit: int = LIMIT, o
 
         yield from _in_rows(_PIECES, rows(), 4096)
 
-    ways = blocks.mapInArrow(maps, _MAPS).repartition(parallelism(entries.sparkSession), "entry_id").sortWithinPartitions("entry_id", "block")
-    starts = ways.mapInArrow(compose, "entry_id long, block long, s long, e long, number long")
+    starts = compose(materialize(blocks.mapInArrow(maps, _MAPS)))
     return blocks.join(starts, ["entry_id", "block"]).mapInArrow(emit, _PIECES)
 
 
+def _follow(r: dict, state: tuple[int, int]) -> tuple[tuple[int, int] | None, int]:
+    """The state in which a walk that enters a block in ``state`` leaves it (None: the entry ends), and its pieces until then."""
+    if r["next_first"] is not None and state[0] >= r["next_first"]:
+        return state, 0
+    i = next((i for i, x in enumerate(zip(r["in_s"], r["in_e"])) if x == state), None)
+    if i is None:
+        raise RuntimeError(f"entry {r['entry_id']} enters block {r['block']} in a state that wasn't walked")
+    return (None if r["out_s"][i] is None else (r["out_s"][i], r["out_e"][i])), r["n"][i]
+
+
+def compose(ways: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(entry_id, block, s, e, number): the state in which the walk of its entry enters each block, and the number of its next piece.
+
+    ``ways`` are the blocks' maps. Stretches of ``stretch`` blocks are composed to one map each, the maps of the stretches are
+    followed from an entry's start (a row per stretch, so that few rows of even a huge entry meet in a task), and then the blocks of each stretch.
+    """
+    n = parallelism(ways.sparkSession)
+    placed = ways.withColumn("stretch", F.floor(F.col("seq") / stretch))
+    by_stretch = placed.repartition(n, "entry_id", "stretch").sortWithinPartitions("entry_id", "stretch", "seq")
+    joined = "entry_id long, stretch long, start_b long, block long, next_first long, in_s array<long>, in_e array<long>, out_s array<long>, out_e array<long>, n array<long>"
+
+    def groups(batches):
+        key, held = None, []
+        for r in _records(batches):
+            if (r["entry_id"], r["stretch"]) != key:
+                if held:
+                    yield held
+                key, held = (r["entry_id"], r["stretch"]), []
+            held.append(r)
+        if held:
+            yield held
+
+    def join_stretch(batches):
+        def rows():
+            for held in groups(batches):
+                outs = []
+                for state in zip(held[0]["in_s"], held[0]["in_e"]):
+                    at, count = state, 0
+                    for r in held:
+                        at, more = _follow(r, at)
+                        count += more
+                        if at is None:
+                            break
+                    outs.append((at, count))
+                yield {k: held[0][k] for k in ("entry_id", "stretch", "start_b", "block", "in_s", "in_e")} | {
+                    "next_first": held[-1]["next_first"], "out_s": [o[0] if o else None for o, _ in outs], "out_e": [o[1] if o else None for o, _ in outs], "n": [c for _, c in outs],
+                }
+
+        yield from _in_rows(joined, rows())
+
+    def through(batches, start: str | None):
+        """The entering states of the rows of each entry, or of each stretch from the state given with it."""
+        at, number, key = None, 1, None
+        for r in _records(batches):
+            own = (r["entry_id"], r["stretch"] if start else 0)
+            if own != key:
+                key = own
+                at, number = ((r["s"], r["e"]), r["number"]) if start else ((r["start_b"], r["start_b"]), 1)
+            if at is None:
+                continue
+            left, more = _follow(r, at)
+            if more:
+                yield {"entry_id": r["entry_id"], "block": r["stretch"] if start is None else r["block"], "s": at[0], "e": at[1], "number": number}
+            elif start is None:
+                yield {"entry_id": r["entry_id"], "block": r["stretch"], "s": at[0], "e": at[1], "number": number}
+            at, number = left, number + more
+
+    whole = by_stretch.mapInArrow(join_stretch, joined).repartition(n, "entry_id").sortWithinPartitions("entry_id", "stretch")
+    entered = whole.mapInArrow(lambda b: _in_rows(_STARTS, through(b, None), 4096), _STARTS).withColumnRenamed("block", "stretch")
+    inner = placed.join(entered, ["entry_id", "stretch"]).repartition(n, "entry_id", "stretch").sortWithinPartitions("entry_id", "stretch", "seq")
+    return inner.mapInArrow(lambda b: _in_rows(_STARTS, through(b, "stretch"), 4096), _STARTS)
+
+
 def _bisected(b: list[int], e: list[int], lo: int, hi: int, limit: int, cuts: list[int], strength: list[int]) -> None:
     """Cut lines lo..hi at the strongest boundary in the middle third, and so on while more than ``limit`` bytes are left."""
     if e[hi - 1] - b[lo] <= limit or hi - lo < 2:
@@ -292,39 +375,120 @@ def _bisected(b: list[int], e: list[int], lo: int, hi: int, limit: int, cuts: li
     _bisected(b, e, at, hi, limit, cuts, strength)
 
 
+_SEGMENTS = "entry_id long, a long, z long"
+_FOUND = "entry_id long, a long, z long, weak long, far long, cut long, before long"
+
+
+def _best_cuts(segments: DataFrame, blocks: DataFrame, block: int, everywhere: bool) -> DataFrame:
+    """(entry_id, a, z, cut, before): where each segment is cut, and the end of the line before the cut.
+
+    Each block that has lines in the middle third of a segment names its best line start there, and the best of all is taken, by the
+    same rule as in :func:`_bisected`. ``everywhere`` is for segments without any: the line start nearest after the middle, else the last one.
+    """
+    mid, third = F.floor((F.col("a") + F.col("z")) / 2), F.floor((F.col("z") - F.col("a")) / 6)
+    lo, hi = (F.col("a"), F.col("z") - 1) if everywhere else (mid - third, mid + third)
+    over = segments.withColumn("block", F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))))
+    rows = over.join(blocks.select("entry_id", "block", "starts", "ends", "before_end", "before_empty"), ["entry_id", "block"])
+
+    def run(batches):
+        def best():
+            for r in _records(batches):
+                a, z = r["a"], r["z"]
+                b, e = np.frombuffer(r["starts"], np.int64), np.frombuffer(r["ends"], np.int64)
+                strength = _strengths(b, e, bool(r["before_empty"]))
+                mid, third = (a + z) // 2, (z - a) // 6
+                on = (b > a) & (b < z)
+                if not everywhere:
+                    on &= (b >= mid - third) & (b <= mid + third)
+                at = np.flatnonzero(on)
+                if not len(at):
+                    continue
+                if everywhere:
+                    after = at[b[at] >= mid]
+                    i = int(after[0] if len(after) else at[-1])
+                    rank = (0, int(b[i]) - mid) if len(after) else (1, mid - int(b[i]))
+                else:
+                    i = int(at[np.lexsort((b[at], np.abs(b[at] - mid), -strength[at]))[0]])
+                    rank = (-int(strength[i]), abs(int(b[i]) - mid))
+                yield {"entry_id": r["entry_id"], "a": a, "z": z, "weak": rank[0], "far": rank[1], "cut": int(b[i]), "before": int(e[i - 1]) if i else r["before_end"]}
+
+        yield from _in_rows(_FOUND, best(), 4096)
+
+    found = rows.mapInArrow(run, _FOUND)
+    one = found.groupBy("entry_id", "a", "z").agg(F.min(F.struct("weak", "far", "cut", "before")).alias("x"))
+    return one.select("entry_id", "a", "z", "x.cut", "x.before")
+
+
+def _strengths(b: np.ndarray, e: np.ndarray, before_empty: bool) -> np.ndarray:
+    """How strong the boundary before each line is: 1, and 1 more each if the line before it and the line itself are empty."""
+    empty = e - b == 1
+    return 1 + np.r_[before_empty, empty[:-1]].astype(np.int64) + empty
+
+
 def bisect_entries(entries: DataFrame, lines: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
     """(entry_id, piece_start, piece_end): the same entries by recursive bisection.
 
-    Halves are cut at the strongest line boundary in the middle third (one after or before an empty line, else the nearest
-    to the middle) while they hold more than ``limit - overlap`` bytes; then each piece but an entry's first is started
-    up to ``overlap`` bytes earlier, at a line start. Entries beyond ``block`` bytes are cut at the block edges first,
-    which are the top levels of the recursion. A line that alone is too long is cut by characters, each piece but its
-    first starting ``overlap`` bytes before the end of the one before. Nulls and repeats are handled as in :func:`split_entries`.
+    An entry is cut at the strongest line boundary in its middle third (one after or before an empty line, else the nearest
+    to the middle; without any there, the next line start after the middle), and so are its halves while they hold more than
+    ``limit - overlap`` bytes; then each piece but an entry's first is started up to ``overlap`` bytes earlier, at a line start. A line
+    that alone is too long is cut by characters, each piece but its first starting ``overlap`` bytes before the end of the one
+    before. Nulls and repeats are handled as in :func:`split_entries`.
+
+    Halves of more than ``block`` bytes are cut by all their blocks together, a level of the recursion at a time; smaller ones are each
+    finished in a task. The rule is the same, so the pieces don't depend on ``block``.
     """
     packed = materialize(pack_blocks(assign_lines(entries, lines, block, limit - overlap - 8), limit, overlap))
-    blocks = _with_context(packed).where((F.col("entry_bytes") > limit) & (F.col("end") - F.col("start_b") > limit))
+    blocks = materialize(_with_context(packed, limit).select("entry_id", "block", "seq", "starts", "ends", "long_at", "long_text", "start_b", "end", "before_end", F.try_element_at("before", F.lit(-1)).alias("last_start")))
+    blocks = blocks.withColumn("before_empty", F.col("before_end") - F.col("last_start") == 1)
+    go = blocks.where(F.col("seq") == 0).select("entry_id", F.col("start_b").alias("a"), F.col("end").alias("z"))
+    done, large = go.where(F.col("z") - F.col("a") <= block), materialize(go.where(F.col("z") - F.col("a") > block))
+    while not large.isEmpty():
+        cuts = materialize(_best_cuts(large, blocks, block, False))
+        rest = large.join(cuts.select("entry_id", "a"), ["entry_id", "a"], "left_anti")
+        near = materialize(_best_cuts(rest, blocks, block, True)) if not rest.isEmpty() else cuts.limit(0)
+        both = cuts.unionByName(near)
+        whole = large.join(both.select("entry_id", "a"), ["entry_id", "a"], "left_anti")  # a single line
+        halves = both.select("entry_id", F.inline(F.array(F.struct("a", F.col("before").alias("z")), F.struct(F.col("cut").alias("a"), "z"))))
+        now = materialize(halves)
+        done = done.unionByName(whole).unionByName(now.where(F.col("z") - F.col("a") <= block))
+        large = now.where(F.col("z") - F.col("a") > block)
+    # The blocks of a segment, also those with the lines that it may overlap.
+    over = done.withColumn("block", F.explode(F.sequence(F.floor((F.col("a") - overlap) / block), F.floor((F.col("z") - 1) / block))))
+    parts = over.join(blocks.select("entry_id", "block", "starts", "ends", "long_at", "long_text", "start_b", "before_empty"), ["entry_id", "block"])
+    by_segment = parts.repartition(parallelism(entries.sparkSession), "entry_id", "a").sortWithinPartitions("entry_id", "a", "block")
+
+    def pieces_of(rows: list[dict]):
+        a, z = rows[0]["a"], rows[0]["z"]
+        b = np.concatenate([np.frombuffer(r["starts"], np.int64) for r in rows])
+        e = np.concatenate([np.frombuffer(r["ends"], np.int64) for r in rows])
+        text = {k: t for r in rows for k, t in zip(r["long_at"] or [], r["long_text"] or [])}
+        weak = _strengths(b, e, bool(rows[0]["before_empty"]))
+        on = (b >= a) & (b < z)
+        known = b.tolist()
+        walk = Walk.of(known, text)
+        b, e, weak = b[on].tolist(), e[on].tolist(), weak[on].tolist()
+        cuts: list[int] = []
+        _bisected(b, e, 0, len(b), limit - overlap, cuts, weak)
+        for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+            start, end = known[bisect_left(known, b[lo] - overlap)], e[hi - 1]
+            while end - start > limit:
+                stop = walk.char_start(start + limit)
+                yield {"entry_id": rows[0]["entry_id"], "piece_start": start, "piece_end": stop}
+                start = max(walk.char_start(stop - overlap), start + 1)
+            yield {"entry_id": rows[0]["entry_id"], "piece_start": start, "piece_end": end}
 
     def run(batches):
         def rows():
+            key, held = None, []
             for r in _records(batches):
-                walk = Walk(r | dict.fromkeys(("h1b", "h2b", "h1at", "h2at")), limit, overlap)
-                b, e = walk.starts, np.frombuffer(r["ends"], np.int64).tolist()
-                weak = [1 + (i > 0 and e[i - 1] - b[i - 1] == 1) + (e[i] - b[i] == 1) for i in range(len(b))]
-                cuts: list[int] = []
-                _bisected(b, e, 0, len(b), limit - overlap, cuts, weak)
-                before = [x for x in r["before"] if x >= b[0] - overlap and x < b[0]]
-                for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
-                    start, end = b[lo], e[hi - 1]
-                    if lo:
-                        start = b[bisect_left(b, start - overlap)]
-                    elif before:
-                        start = before[0]
-                    while end - start > limit:
-                        stop = walk.char_start(start + limit)
-                        yield {"entry_id": r["entry_id"], "piece_start": start, "piece_end": stop}
-                        start = max(walk.char_start(stop - overlap), start + 1)
-                    yield {"entry_id": r["entry_id"], "piece_start": start, "piece_end": end}
+                if (r["entry_id"], r["a"]) != key:
+                    if held:
+                        yield from pieces_of(held)
+                    key, held = (r["entry_id"], r["a"]), []
+                held.append(r)
+            if held:
+                yield from pieces_of(held)
 
         yield from _in_rows("entry_id long, piece_start long, piece_end long", rows(), 4096)
 
-    return blocks.mapInArrow(run, "entry_id long, piece_start long, piece_end long")
+    return by_segment.mapInArrow(run, "entry_id long, piece_start long, piece_end long")

@@ -56,7 +56,61 @@ def make(seed, files=3, letters="abé漢"):
     return entries + entries[:1], lines + lines[:3]
 
 
-@pytest.mark.parametrize("seed", range(8))
+def bisected(entries, lines, limit, overlap):
+    """Recursive bisection of whole entries at once."""
+    out = set()
+    for entry, file, size, start, splittable in set(entries):
+        own = sorted({(b, t) for f, _, b, t in lines if f == file})
+        own = [(b, b + len(t.encode()) + 1, t.encode()) for b, t in own if (start < b and (size is None or b <= start + size)) or (b == 0 and start == 0)]
+        if not splittable or sum(e - b for b, e, _ in own) <= limit:
+            continue
+        strength = [1 + (i > 0 and own[i - 1][2] == b"") + (own[i][2] == b"") for i in range(len(own))]
+
+        def cut(lo, hi):
+            a, z = own[lo][0], own[hi - 1][1]
+            if z - a <= limit - overlap or hi - lo < 2:
+                return [(lo, hi)]
+            mid, third = (a + z) // 2, (z - a) // 6
+            near = [i for i in range(lo + 1, hi) if abs(own[i][0] - mid) <= third]
+            after = [i for i in range(lo + 1, hi) if own[i][0] >= mid]
+            at = min(near, key=lambda i: (-strength[i], abs(own[i][0] - mid), i)) if near else after[0] if after else hi - 1
+            return cut(lo, at) + cut(at, hi)
+
+        def back(lo, at):
+            i = max(k for k in range(len(own)) if own[k][0] <= at)
+            b, _, t = own[i]
+            while b < at < b + len(t) and t[at - b] & 0xC0 == 0x80:
+                at -= 1
+            return at
+
+        for lo, hi in cut(0, len(own)):
+            s, z = min((b for b, _, _ in own if own[lo][0] - overlap <= b <= own[lo][0])), own[hi - 1][1]
+            while z - s > limit:
+                e = back(lo, s + limit)
+                out.add((entry, s, e))
+                s = max(back(lo, e - overlap), s + 1)
+            out.add((entry, s, z))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bisection_does_not_depend_on_blocks(spark, seed):
+    entries, lines = make(seed + 20)
+    want = bisected(entries, lines, 120, 40)
+    for block in (400, 1500, 1 << 20):
+        got = pieces.bisect_entries(spark.createDataFrame(entries, ENTRY), spark.createDataFrame(lines, LINE), limit=120, overlap=40, block=block)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_stretches_of_blocks_are_composed(spark, monkeypatch):
+    entries, lines = make(1)
+    compose = pieces.compose
+    monkeypatch.setattr(pieces, "compose", lambda ways: compose(ways, 3))
+    got = pieces.split_entries(spark.createDataFrame(entries, ENTRY), spark.createDataFrame(lines, LINE), limit=120, overlap=40, block=400)
+    assert {tuple(r) for r in got.collect()} == plain(entries, lines, 120, 40)
+
+
+@pytest.mark.parametrize("seed", range(4))
 def test_pieces_follow_the_rule_across_blocks(spark, seed):
     entries, lines = make(seed)
     got = pieces.split_entries(spark.createDataFrame(entries, ENTRY), spark.createDataFrame(lines, LINE), limit=120, overlap=40, block=400)

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 MISREAD_UTF8 = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp932", "gbk")
 READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250")
 WRITTEN_AS = ("cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "cp1250", "euc_jp", "cp932")
-_MULTIBYTE = {"euc_jp", "cp932", "gbk"}
+#: Further pages that the same bytes could be of: not searched, but a restoration isn't certain if one of them explains it as well.
+RIVALS = ("cp949", "gbk", "big5", "cp1253", "cp1254", "cp1255")
+_MULTIBYTE = {"euc_jp", "cp932", "gbk", "cp949", "big5"}
 
-MAX_STATES = 48
-MAX_STEPS = 4
 STEP_COST = 0.1
 #: Gain in plausibility from which a word that is UTF-8 read by a code page is garbled: that it is valid UTF-8 is evidence in itself.
 UTF8_GAIN = 0.5
@@ -35,8 +35,10 @@ PAGE_GAIN = 1.9
 PAGE_GAIN_ALL = 3.0
 #: Cost from which a word is searched for that: less are rarer letters, pairs of accents and Greek variables (0.9) of correct text, which would add up.
 PAGE_COST = 1.0
-#: Longest word that is looked at as one.
-CHUNK = 256
+#: Words of more characters are not remembered.
+REMEMBERED = 256
+#: A restoration isn't certain if another change explains a word by another text that is less than this costlier.
+CERTAIN = 0.3
 
 _SUSPECT = regex.compile(r"[^ \t\r\n]*(?:[^\x00-\x7f]|&#?[0-9A-Za-z]{1,31};)[^ \t\r\n]*")
 _REFERENCE = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][0-9A-Za-z]{1,30});")
@@ -111,8 +113,12 @@ def _glued(word: str, k: list[str], i: int) -> bool:
     return right >= (1 if c == "ⁿ" else 3 if c in "ΘΓΩ" else 99 if c in "ΔΣΠµμ" else 5)
 
 
-@lru_cache(maxsize=200_000)
 def cost(word: str) -> float:
+    """:func:`_cost`, remembered for words that aren't very long."""
+    return _known_cost(word) if len(word) <= REMEMBERED else _cost(word)
+
+
+def _cost(word: str) -> float:
     """How implausible a word's characters and their neighbours are; 0 for ordinary text of any language."""
     k = [kind(c) for c in word]
     total = 0.0
@@ -136,6 +142,10 @@ def cost(word: str) -> float:
                 total += 1.5
             if after == "q" and word[i + 1] not in "’”»… ":
                 total += 0.8
+        if x == "E" and before == "E" and after in "ae":
+            total += 0.5  # two capitals with accents begin no word of small letters
+        if c in "ĂĹ" and i + 1 < n and word[i + 1] in "ŚŤŽŹšśťžźŁĄŞŻłąşĽľż":
+            total += 0.5  # letters of no common language
         if x in "eE" and before in "eE":
             pair = word[i - 1 : i + 1]
             total += 0.0 if pair.lower() in ("çã", "çõ") else 0.7 if o < 0x100 and ord(pair[0]) < 0x100 else 0.2
@@ -201,6 +211,9 @@ def cost(word: str) -> float:
     return total
 
 
+_known_cost = lru_cache(maxsize=200_000)(_cost)
+
+
 class _Page(dict):
     """Characters of a one-byte code page to their bytes; what the page doesn't have is 0.
 
@@ -311,36 +324,39 @@ def _unescape(word: str) -> str:
     return word
 
 
-@lru_cache(maxsize=100_000)
 def search(word: str) -> tuple[str, float, str, bool]:
     """The cheapest reachable text: (text, gain over the word, changes, whether the evidence is valid UTF-8).
 
-    Changes between pages are tried only if no state that is valid UTF-8 is better, and only on words of at
-    least PAGE_COST: no gain is more than the word's own cost.
+    All states are visited that can be cheaper than the best one: a state costs what its characters do and a little for each
+    step, so what has as many steps as the best state costs in all can't be, nor can anything reached from it. There is no other
+    limit; the steps can't be more than the word's cost allows.
+    Changes between pages are tried only if no state that is valid UTF-8 is better, and only on words of at least PAGE_COST, as no
+    gain is more than the word's own cost.
     """
+    return _known_search(word) if len(word) <= REMEMBERED else _search(word)
+
+
+def _search(word: str) -> tuple[str, float, str, bool]:
     start = _unescape(word)
     base = cost(start)
     for pages in (False, True):
         if pages and base < PAGE_COST:
             break
         seen, best = {start}, (base, start, ())
-        heap: list = [(base, 0, start, ())]
-        tie, expanded = 0, 0
-        while heap and expanded < MAX_STATES:
-            c, _, at, ways = heapq.heappop(heap)
+        heap: list = [(base, 0, start, (), 0.0)]
+        tie = 0
+        while heap:
+            c, _, at, ways, steps = heapq.heappop(heap)
             if c < best[0] - 1e-9:
                 best = (c, at, ways)
-            elif best[2] and c > best[0] + 1.5:
-                break  # all that is left is far worse
-            if len(ways) >= MAX_STEPS or (c - STEP_COST * len(ways) <= 0 and ways and at.isascii()):
-                continue
-            expanded += 1
+            if steps + STEP_COST >= best[0] - 1e-9:
+                continue  # nothing reached from here is cheaper than the best
             for way, new in _neighbours(at, pages and not ways):
-                if new not in seen:
+                more = steps + _likely(way)
+                if new not in seen and more < best[0]:
                     seen.add(new)
                     tie += 1
-                    steps = (*ways, way)
-                    heapq.heappush(heap, (cost(new) + sum(map(_likely, steps)), tie, new, steps))
+                    heapq.heappush(heap, (cost(new) + more, tie, new, (*ways, way), more))
         gain = base - cost(best[1])
         if best[2] and gain > (UTF8_GAIN if not pages else 0):
             utf8 = any(w.startswith("utf-8") for w in best[2])
@@ -348,21 +364,7 @@ def search(word: str) -> tuple[str, float, str, bool]:
     return word, 0.0, "", False
 
 
-def _words(text: str):
-    """(start, word) of the words that may be garbled; very long ones in parts."""
-    for m in _SUSPECT.finditer(text):
-        w = m[0]
-        if len(w) <= CHUNK:
-            yield m.start(), w
-            continue
-        at = 0
-        while at < len(w):
-            end = min(len(w), at + CHUNK)
-            if end < len(w):  # cut beside an ASCII character if there is one
-                cut = next((i for i in range(end, at + CHUNK // 2, -1) if w[i].isascii() and w[i] not in "&#;" and not w[i].isalnum()), end)
-                end = cut
-            yield m.start() + at, w[at:end]
-            at = end
+_known_search = lru_cache(maxsize=100_000)(_search)
 
 
 def _step(word: str, change: str) -> str | None:
@@ -375,7 +377,6 @@ def _step(word: str, change: str) -> str | None:
     return _as_utf8(word, page) if written == "utf-8" else _repage(word, page, written)
 
 
-@lru_cache(maxsize=200_000)
 def _apply(word: str, ways: str) -> str | None:
     for change in ways.split(" + "):
         new = _step(word, change)
@@ -385,18 +386,39 @@ def _apply(word: str, ways: str) -> str | None:
     return word
 
 
-def examine(text: str | None) -> tuple[bool, str | None, bool, str]:
-    """(garbled, restored text, whether it is restored in full, the changes) of a text.
-
+def _rivalled(picks: list[tuple[str, str]], how: str, others) -> bool:
+    """Whether another change explains the words (as they were, as they are now) about as well as ``how``, by another text."""
+    ways = [lambda w, k=k.removeprefix("unescape + "): _apply(w, k) for k in others if k != how]
+    if "utf-8" not in how and " read as " in how:
+        page = how.split(" + ")[0].removeprefix("unescape + ").split(" read as ")[1]
+        ways += [lambda w, k=k: _repage(w, page, k) for k in (*WRITTEN_AS, *RIVALS) if k != page]
+    for way in ways:
+        worse, differs = 0.0, False
+        for plain, pick in picks:
+            alt = way(plain)
+            kinds = set(map(kind, alt or ""))
+            # A word of two scripts is none, and neither is one that the change doesn't explain.
+            worse += 2.0 if alt is None or ("l" in kinds and kinds & _LATIN) else cost(alt) - cost(pick)
+            differs |= alt != pick
+        if differs and worse <= CERTAIN:
+            return True
+    return False
+
+
+def examine(text: str | None) -> tuple[bool, str | None, bool, str, bool]:
+    """(garbled, restored text, whether no character is lost, the changes, whether the restoration is certain) of a text.
+
+    It isn't certain if characters are lost, or if another change explains the words by another text about as well (see CERTAIN and RIVALS).
     A word may be explained by several changes equally well. So the change that explains most of a text's words is
     preferred for all of them where it is about as good.
     """
     if not text or (text.isascii() and "&" not in text):
-        return False, text, True, ""
+        return False, text, True, "", True
     found, lost = [], False
     by_way: dict[str, float] = {}
     utf8_hit, page_best = False, 0.0
-    for at, w in _words(text):
+    for m in _SUSPECT.finditer(text):
+        at, w = m.start(), m[0]
         plain = _unescape(w)
         if plain.isascii():
             continue
@@ -411,7 +433,7 @@ def examine(text: str | None) -> tuple[bool, str | None, bool, str]:
     page_hit = page_best >= PAGE_GAIN or page_all >= PAGE_GAIN_ALL
     by_way = {k: v for k, v in by_way.items() if (utf8_hit if "utf-8" in k else page_hit)}
     if not by_way:
-        return lost, text, not lost, "lost" if lost else ""
+        return lost, text, not lost, "lost" if lost else "", not lost
     if utf8_hit:
         by_way |= {k: 0.0 for p in MISREAD_UTF8 if (k := f"utf-8 read as {p}") not in by_way}
     if page_hit:
@@ -419,7 +441,7 @@ def examine(text: str | None) -> tuple[bool, str | None, bool, str]:
     gains = {k: [cost(p) - cost(a) for _, _, p, *_ in found if (a := _apply(p, k.removeprefix("unescape + "))) not in (None, p)] for k in by_way}
     top = max(sorted(gains), key=lambda k: (round(sum(max(0.0, x) for x in gains[k]), 3), sum(x > -0.5 for x in gains[k])))
     strong = sum(x > 0.5 for x in gains[top]) >= max(3, len(found) / 2)
-    out, end, used = [], 0, set()
+    out, end, used = [], 0, {}
     for at, w, plain, new, gain, ways, utf8 in found:
         pick, how = (new, ways) if ways in by_way else (plain, "")
         if how != top:
@@ -430,18 +452,19 @@ def examine(text: str | None) -> tuple[bool, str | None, bool, str]:
         if how and pick != w:
             out += [text[end:at], pick]
             end = at + len(w)
-            used.add(how)
+            used.setdefault(how, []).append((plain, pick))
     if not used:
-        return lost, text, not lost, "lost" if lost else ""
+        return lost, text, not lost, "lost" if lost else "", not lost
     restored = "".join([*out, text[end:]])
-    return True, restored, not lost, ", ".join(sorted(used | ({"lost"} if lost else set())))
+    certain = not lost and not any(_rivalled(picks, how, gains) for how, picks in used.items())
+    return True, restored, not lost, ", ".join(sorted({*used} | ({"lost"} if lost else set()))), certain
 
 
 def find_garbled(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, restored, complete, changes) of the documents with garbled text in any part.
+    """(doc_id, restored, complete, certain, changes) of the documents with garbled text in any part.
 
     ``restored`` is the whole text with the garbled words replaced by what the search found; ``complete`` is false if characters are lost
-    for good. Each text is looked at where it is read; only the documents found are shuffled, as a repeated id counts once (the least
+    for good, and ``certain`` also if another text explains the same bytes about as well. Each text is looked at where it is read; only the documents found are shuffled, as a repeated id counts once (the least
     restored text). Null ids and texts give no rows, empty texts aren't garbled, texts of any length are handled whole;
     other columns aren't read.
     """
@@ -453,12 +476,12 @@ def find_garbled(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             ids, rows = b.column(0), []
             for i, t in enumerate(b.column(1).to_pylist()):
-                hit, restored, complete, changes = examine(t)
+                hit, restored, complete, changes, certain = examine(t)
                 if hit:
-                    rows.append((ids[i].as_py(), restored, complete, changes))
+                    rows.append((ids[i].as_py(), restored, complete, certain, changes))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.bool_(), pa.string()))], names=["doc_id", "restored", "complete", "changes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string()))], names=["doc_id", "restored", "complete", "certain", "changes"])
 
-    found = src.mapInArrow(run, "doc_id long, restored string, complete boolean, changes string")
-    one = found.groupBy("doc_id").agg(F.min(F.struct("restored", "complete", "changes")).alias("x"))
-    return one.select("doc_id", "x.restored", "x.complete", "x.changes")
+    found = src.mapInArrow(run, "doc_id long, restored string, complete boolean, certain boolean, changes string")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("restored", "complete", "certain", "changes")).alias("x"))
+    return one.select("doc_id", "x.restored", "x.complete", "x.certain", "x.changes")

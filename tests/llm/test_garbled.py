@@ -83,6 +83,50 @@ def test_long_text_without_spaces():
     assert not g.examine("漢字かな" * 5000)[0]
 
 
+@pytest.mark.parametrize("n", [192, 960, 4800])
+def test_length_changes_nothing(n):
+    text = ("日本語の文章がここにあります機械は毎日動いています" * 300)[:n]
+    assert g.examine(garble(text, "latin_1"))[:3] == (True, text, True)
+
+
+@pytest.mark.parametrize("word", ["Île", "Über", "Šárka", "Ärger", "Éveil"])
+def test_one_capital_read_as_cp1250_is_found(word):
+    assert g.examine(f"All is well. {garble(word, 'cp1250')} so far.")[:2] == (True, f"All is well. {word} so far.")
+
+
+def test_a_guess_is_not_called_certain():
+    korean = "한국어 문장은 여기에 있습니다".encode("cp949").decode("latin_1")
+    assert g.examine(korean)[0] and not g.examine(korean)[4]
+    assert g.examine(garble("Le gâteau est gelé, déjà vu", "cp1252"))[4]
+    assert not g.examine("All is well, ⁿber so far.")[4]
+
+
+def exhaustive(word):
+    """The cheapest of all states that up to four changes reach, by breadth."""
+    start = g._unescape(word)
+    costs, level = {start: 0.0}, {start: 0.0}
+    for depth in range(4):
+        after = {}
+        for at, steps in level.items():
+            for way, new in g._neighbours(at, False):
+                more = steps + g._likely(way)
+                if more < after.get(new, costs.get(new, 99.0)):
+                    after[new] = more
+        costs |= after
+        level = after
+    return min(g.cost(t) + s for t, s in costs.items())
+
+
+@pytest.mark.parametrize("text", TEXTS)
+@pytest.mark.parametrize("page", ["cp1252", "mac_roman", "cp437", "cp1250"])
+def test_the_search_finds_the_cheapest_text(text, page):
+    for once in (text, garble(text, page) if page != "cp1250" else text.encode().decode("cp1250", "ignore")):
+        for word in {*once.split(), *garble(once, "latin_1").split(" ")}:
+            new, gain, ways, utf8 = g.search(word)
+            if utf8:
+                assert abs(g.cost(new) + sum(map(g._likely, ways.split(" + "))) - exhaustive(word)) < 1e-6
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "cafÃ©", 5), (1, "cafÃ©", 6), (2, None, 1), (None, "cafÃ©", 1), (3, "", 1), (4, "fine", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, restored int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import unicodedata
 from collections import defaultdict
 
@@ -12,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import materialize
+
 #: Which words of a window count (1) and which are ignored (0). The first ignores none: a passage of 20 words with two
 #: edits, or of 30 with three, always has six words in a row unchanged, also where words were added
 #: or dropped, and so has a whole item of 12 to 19 words with one edit; the others lie across changed words.
@@ -204,18 +208,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     """(doc_id, item_id): documents that hold an item fully or in a passage of at least 20 words, one edit in ten allowed.
 
     The items' seeds are an index of bounded size, against which the seeds of all documents are looked up where the
-    documents are read: no shuffle of the corpus. More items than fit are taken in blocks, each a scan. The rows found are the
+    documents are read: no shuffle of the corpus. More items than fit are taken in blocks, each a scan; only one
+    block's index is alive at a time, and the hits of each are written. The rows found are the
     only ones shuffled, as repeated documents count once. Null ids and null texts give no rows, empty texts match
     nothing, texts of any length are handled whole; other columns aren't read.
     """
     spark = docs.sparkSession
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long"
-    found = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_id, text, block_seeds):
+
+    def scan(block: list[tuple[int, str]]):
         index = spark.sparkContext.broadcast(Index(block))
 
-        def run(batches, index=index):
+        def run(batches):
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1)
                 for a in range(0, len(ids), 1000):
@@ -223,5 +228,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array([ids[a + d] for d, _ in got], pa.int64()), pa.array([i for _, i in got], pa.int64())], names=["doc_id", "item_id"])
 
-        found = found.unionByName(src.mapInArrow(run, schema))
-    return found.distinct()
+        return index, src.mapInArrow(run, schema)
+
+    blocks = _blocks(items, item_id, text, block_seeds)
+    first, after = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if after is None:
+        return scan(first)[1].distinct()
+    # One index at a time: each block's hits are written before the next block is indexed and sent.
+    parts = []
+    for block in itertools.chain([first, after], blocks):
+        index, hits = scan(block)
+        parts.append(materialize(hits.distinct()))
+        index.destroy()
+    return functools.reduce(DataFrame.unionByName, parts)

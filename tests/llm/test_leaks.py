@@ -38,6 +38,17 @@ def change(words, rate, r):
     return out
 
 
+def test_every_single_edit_of_items_of_all_lengths():
+    for n in range(1, 61):
+        item = [f"v{k}" for k in range(n)]
+        docs = []
+        for at in range(n):
+            for new in ([], ["other"], [item[at], "more"]):
+                docs.append(["before", "it", *item[:at], *new, *item[at + 1 :], "and", "after"])
+        got = {d for d, _ in leaks.Index([(7, " ".join(item))]).find([" ".join(d) for d in docs])}
+        assert got == {d for d, words in enumerate(docs) if n >= 10 or plain(item, words)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_against_the_definition(seed):
     r = random.Random(seed)

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph.operators.prefix import prefix_sums
 from quillgraph.session import drop, materialize, materialize_counted
 
-#: Pointers fewer than this are joined plainly: even all of them at one key are a small task.
-FEW = 50_000
-#: A parent with more than this share of the pointers into it is hot: its row is sent to all tasks (at most 1/HOT such rows).
+#: Rows fewer than this are joined plainly: even all of them at one key are a small task.
+FEW = 1_000_000
+#: A key with more than this share of the rows is hot: its row of the other side is sent to all tasks (at most 1/HOT such rows).
 HOT = 1 / 200
 
 
+def one_parent(df: DataFrame, key: str, parent: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """(node, parent, ...): one row per key. Of several rows of a key the least parent (null last) and the least of each extra column counts."""
+    cols = [F.col(key).alias("node"), F.col(parent).alias("parent")] + [F.col(v).alias(k) for k, v in (extra or {}).items()]
+    return df.select(*cols).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"), *[F.min(k).alias(k) for k in extra or {}])
+
+
 def links(df: DataFrame, key: str, parent: str, extra: dict[str, str] | None = None) -> DataFrame:
     """(node, parent, linked) of the nodes; ``parent`` is null for tops and where the parent isn't listed.
 
     Rows without a key are no nodes. Of several rows of a key the one with the least parent (null last) counts; of
     ``extra`` columns (new name: column) the least value. ``linked`` tells a missing parent (false) from none (null).
     """
-    cols = [F.col(key).alias("node"), F.col(parent).alias("parent")] + [F.col(v).alias(k) for k, v in (extra or {}).items()]
-    one = (
-        df.select(*cols).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"), *[F.min(k).alias(k) for k in extra or {}])
-    )
+    one = materialize(one_parent(df, key, parent, extra))
     listed = one.select(F.col("node").alias("parent"), F.lit(True).alias("listed"))
     out = lookup(one, listed, "parent")
     return out.withColumn("linked", F.when(F.col("parent").isNotNull(), F.col("listed").isNotNull())).withColumn(
@@ -33,89 +37,88 @@ def links(df: DataFrame, key: str, parent: str, extra: dict[str, str] | None = N
     ).drop("listed")
 
 
+def hot_keys(df: DataFrame, key: str, hot: float = HOT) -> list:
+    """The keys that hold at least ``hot`` of the rows (so at most 1/hot of them), by one aggregation; none of a small input."""
+    seen = Observation()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().observe(seen, F.sum("count").alias("n"))
+    most = counts.orderBy(F.col("count").desc()).limit(int(1 / hot)).collect()
+    n = seen.get["n"] or 0
+    return [r[0] for r in most if n >= FEW and r[1] >= n * hot]
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, n: int | None = None, hot: float = HOT) -> DataFrame:
     """Left join on ``key``, which is unique on the right, though few keys may hold most rows of the left.
 
-    The rows of the right for keys that hold at least ``hot`` of the left (so at most 1/hot rows) are broadcast; all
-    other rows are joined by a shuffle, in which hot and null keys are replaced by salts that match nothing.
+    The rows of hot keys meet the rows of the right for these keys (at most 1/hot), which are broadcast; rows without a key meet none; only
+    all others are joined by a shuffle. ``n`` is the number of rows of the left, if it is known: few are joined plainly. Otherwise the left
+    is read once to count its keys, and once for each part, so it should be a table or a scan with little work.
     """
-    n = left.count() if n is None else n
-    if n < FEW:
-        return left.join(right, key, "left").select(*left.columns, *[c for c in right.columns if c != key])
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    most = F.broadcast(right.join(F.broadcast(counts.where(F.col("count") >= int(n * hot)).select(key)), key, "left_semi"))
     cols = [c for c in right.columns if c != key]
-    few = most.select(F.col(key).alias("_k"), F.struct(*cols).alias("_hot"))
-    tail = right.select(F.col(key).cast("string").alias("_t"), F.struct(*cols).alias("_cold"))
-    salt = F.concat(F.lit("#"), (F.rand(7) * 4096).cast("int").cast("string"))
-    out = left.join(few, left[key] == few["_k"], "left").drop("_k")
-    out = out.withColumn("_j", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(salt))
-    out = out.join(tail, out["_j"] == tail["_t"], "left").drop("_j", "_t")
-    picked = [F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in cols]
-    return out.select(*left.columns, *picked)
+    plain = lambda rows, other: rows.join(other, key, "left").select(*left.columns, *cols)
+    keys = hot_keys(left, key, hot) if n is None or n >= FEW else []
+    if not keys and n is not None and n < FEW:
+        return plain(left, right)
+    none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in cols])
+    some = left.where(F.col(key).isNotNull())
+    if not keys:
+        return plain(some, right).unionByName(none)
+    is_hot = F.col(key).isin(keys)
+    return plain(some.where(is_hot), F.broadcast(right.where(is_hot))).unionByName(plain(some.where(~is_hot), right)).unionByName(none)
 
 
 @dataclass
 class Jumps:
-    """What the upward rounds give: per node its size, height, depth and root, and the pointers of each round with their number."""
+    """What the upward rounds give: the pointers of each round with their number, sizes and heights, and what is never finished."""
 
-    nodes: DataFrame
     rounds: list[tuple[DataFrame, int]]
+    sizes: DataFrame  #: (node, size, height) of the nodes with descendants
+    stuck: DataFrame  #: (node, anc) of the nodes on cycles and below them
     on_cycle: DataFrame
 
 
 def climb(tree: DataFrame) -> Jumps:
-    """Subtree sizes and heights upward, 2^k levels in round k.
+    """Subtree sizes and heights of nodes (node, parent) upward, 2^k levels in round k.
 
-    After round k, ``anc`` of a node is its ancestor 2^k levels up (null beyond the top) and its size counts the
-    descendants less than 2^k levels down: those 2^k to 2^(k+1)-1 levels down are the ones counted at the nodes whose
-    ``anc`` it is. So trees of depth d take log2(d) rounds rather than d. A node that is deeper than another round reaches
+    Before round k, ``anc`` of a node is its ancestor 2^k levels up, and its size counts the descendants less than 2^k levels
+    down: those 2^k to 2^(k+1)-1 levels down are the ones counted at the nodes whose ``anc`` it is. A node without an ancestor so far
+    up is finished and leaves the rounds; what it still gains is summed up in the end. So trees of depth d take log2(d) rounds rather
+    than d, and each handles only the nodes that are at least so deep. A node that is deeper than another round reaches
     has ancestors that this round does finish; so when a round finishes none, what is left is never processed: it is on
     cycles or below them.
     """
-    now = tree.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("height"),
-                      F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"))
-    going = F.col("anc").isNotNull()
-    now, n = materialize_counted(now, going)
-    rounds, step, before = [], 1, None
-    while True:
-        if n in (0, before):
-            break
-        active = now.where(going)
+    one = lambda x: F.lit(x).cast("long")
+    now, n = materialize_counted(tree.where(F.col("parent").isNotNull()).select("node", F.col("parent").alias("anc"), one(1).alias("size"), one(0).alias("height")), F.lit(True))
+    rounds: list[tuple[DataFrame, int]] = []
+    gains, step, before = [], 1, None
+    while n not in (0, before):
         before = n
-        rounds.append((active.select("node", "anc"), n))
-        grown = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("add"), F.max(F.col("height")).alias("below"))
-        up = active.select("node", "anc")
-        far = now.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        moved = lookup(up, far, "anc", n).drop("anc")
-        joined = now.join(grown, "node", "left").join(moved, "node", "left")
-        now, n = materialize_counted(
-            joined.select(
-                "node",
-                F.col("anc2").alias("anc"),
-                (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"),
-                F.greatest("height", F.coalesce(F.col("below") + step, F.lit(0))).alias("height"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                F.coalesce("root2", "root").alias("root"),
-            ),
-            going,
+        rounds.append((now, n))
+        gain = now.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("add"), (F.max("height") + step).alias("below"))
+        gains.append(now.select(F.col("anc").alias("node"), "size", (F.col("height") + step).alias("height")))
+        grown = now.join(gain, "node", "left").select(
+            "node", "anc", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"), F.greatest("height", F.coalesce("below", F.lit(0))).alias("height")
         )
+        far = now.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
+        if n < FEW:
+            moved = grown.join(far, "anc")
+        else:
+            moved = lookup(materialize(grown), far, "anc", n).where(F.col("anc2").isNotNull())
+        now, n = materialize_counted(moved.select("node", F.col("anc2").alias("anc"), "size", "height"), F.lit(True))
         step *= 2
-    return Jumps(now, rounds, _on_cycles(now.where(going).select("node", "anc")))
+    total = functools.reduce(DataFrame.unionByName, gains) if gains else now.select("node", "size", "height")
+    sizes = total.groupBy("node").agg((F.sum("size") + 1).alias("size"), F.max("height").alias("height"))
+    return Jumps([(r.select("node", "anc"), k) for r, k in rounds], sizes, now.select("node", "anc"), _on_cycles(now.select("node", "anc"), n))
 
 
-def _on_cycles(stuck: DataFrame) -> DataFrame:
-    """(node) on cycles, of nodes with an ancestor each that are all on or below cycles.
+def _on_cycles(stuck: DataFrame, n: int) -> DataFrame:
+    """(node) on cycles, of ``n`` nodes with an ancestor each that are all on or below cycles.
 
     Going up moves a set of such nodes towards the cycles. When it no longer shrinks, it goes round on them.
     """
-    at = materialize(stuck.select(F.col("anc").alias("node")).distinct())
-    n = at.count()
-    while n:
-        at = materialize(stuck.join(at, "node").select(F.col("anc").alias("node")).distinct())
-        n, before = at.count(), n
-        if n == before:
-            break
+    at, before = stuck.select("node"), None
+    while n not in (0, before):
+        before = n
+        at, n = materialize_counted(stuck.join(at, "node", "left_semi").select(F.col("anc").alias("node")).distinct(), F.lit(True))
     return at
 
 
@@ -132,24 +135,31 @@ def _rings(cycle: DataFrame) -> DataFrame:
 
 
 def _offsets(nodes: DataFrame, rounds: list[tuple[DataFrame, int]], with_path: bool, separator: str, deepest_first: bool) -> DataFrame:
-    """(node, offset, path) of the nodes (node, parent, size, height) of whole trees, with the pointers of :func:`climb`."""
-    name = F.col("node").cast("string")
+    """(node, offset, depth, root, path) of the nodes (node, parent, size, height) of whole trees, with the pointers of :func:`climb`."""
     siblings = [F.col("height").desc(), F.col("node")] if deepest_first else [F.col("node")]
     laid = prefix_sums(nodes.select("node", "parent", "size", "height"), "parent", siblings, "size", "before")
-    now = materialize(laid.select("node", (F.col("before") + 1).alias("offset"), (name if with_path else F.lit("")).alias("path")))
+    now = materialize(laid.select(
+        "node", (F.col("before") + 1).alias("offset"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"),
+        *([F.col("node").cast("string").alias("path")] if with_path else []),
+    ))
+    cols = [c for c in now.columns if c != "node"]
     for pointers, n in rounds:
-        far = now.select(F.col("node").alias("anc"), F.col("offset").alias("offset2"), F.col("path").alias("path2"))
+        far = now.select(F.col("node").alias("anc"), *[F.col(c).alias(f"{c}2") for c in cols])
         more = lookup(pointers, far, "anc", n).drop("anc").where(F.col("offset2").isNotNull())
-        path: Column = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(separator, "path2", "path"))
-        old, now = now, materialize(
-            now.join(more, "node", "left").select(
-                "node", (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"), (path if with_path else F.lit("")).alias("path")
-            )
-        )
+        step = {"offset": F.col("offset") + F.coalesce("offset2", F.lit(0)), "depth": F.col("depth") + F.coalesce("depth2", F.lit(0)), "root": F.coalesce("root2", "root")}
+        if with_path:
+            step["path"] = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(separator, "path2", "path"))
+        old, now = now, materialize(now.join(more, "node", "left").select("node", *[step[c].alias(c) for c in cols]))
         drop(old)
     return now
 
 
+def _sized(tree: DataFrame, jumps: Jumps) -> DataFrame:
+    """The nodes with their size and height; those without descendants have 1 and 0."""
+    out = tree.join(jumps.sizes, "node", "left")
+    return out.withColumns({"size": F.coalesce("size", F.lit(1)).cast("long"), "height": F.coalesce("height", F.lit(0)).cast("long")})
+
+
 def _hanging(stuck: DataFrame, first: int, deepest_first: bool) -> DataFrame:
     """(node, offset, size, height, others) of the nodes (node, parent, cycle) on and below cycles; offsets come after ``first``.
 
@@ -161,7 +171,7 @@ def _hanging(stuck: DataFrame, first: int, deepest_first: bool) -> DataFrame:
     up = lookup(stuck.where(F.col("cycle").isNull()).select("node", "parent"), ring.select(F.col("node").alias("parent"), "ring"), "parent")
     forest = materialize(tops.unionByName(up.select("node", F.coalesce("ring", "parent").alias("parent"))))
     jumps = climb(forest)
-    sized = materialize(jumps.nodes.select("node", "size", "height").join(forest, "node"))
+    sized = materialize(_sized(forest, jumps))
     laid = _offsets(sized, jumps.rounds, False, "", deepest_first)
     at = materialize(sized.join(laid, "node").select("node", (F.col("offset") + first).alias("offset"), "size", "height"))
     count = ring.groupBy("ring").agg((F.count("*") - 1).alias("others"))
@@ -192,10 +202,11 @@ def hierarchy(
     Clashing columns aren't read.
     """
     tree = materialize(links(df, key, parent, {"recorded": recorded} if recorded else None))
-    jumps = climb(tree)
+    jumps = climb(tree.select("node", "parent"))
     on_cycle = jumps.on_cycle.withColumn("cycle", F.lit(True))
-    stuck = jumps.nodes.select("node", F.col("anc").isNotNull().alias("stuck"), "size", "height", "depth", "root")
-    base = materialize(tree.join(stuck, "node").join(on_cycle, "node", "left"))
+    stuck = jumps.stuck.select("node", F.lit(True).alias("stuck"))
+    base = _sized(tree, jumps).join(stuck, "node", "left").join(on_cycle, "node", "left")
+    base = materialize(base.withColumn("stuck", F.coalesce("stuck", F.lit(False))))
     sound = base.where(~F.col("stuck"))
     out = base.join(_offsets(sound, jumps.rounds, with_path, separator, deepest_first), "node", "left")
     ok = ~F.col("stuck")
@@ -225,7 +236,7 @@ def hierarchy(
 
 def cycle_nodes(df: DataFrame, key: str, parent: str) -> DataFrame:
     """(node_key) of the nodes that are their own ancestor: what the upward rounds leave unprocessed."""
-    return climb(materialize(links(df, key, parent))).on_cycle.withColumnRenamed("node", "node_key")
+    return climb(one_parent(df, key, parent)).on_cycle.withColumnRenamed("node", "node_key")
 
 
 def descendants(tree: DataFrame, of: DataFrame, blocks: int = 4096) -> DataFrame:

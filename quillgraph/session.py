@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,13 @@ def get_session(master: str = "local[*]", partitions: int = 8, name: str = "quil
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset, and all tasks run in this process, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = getattr(spark, "_quillgraph_shared", None)
     if own is None:
         path = tempfile.mkdtemp(prefix="quillgraph-")
@@ -82,6 +86,19 @@ def cleanup(spark: SparkSession) -> None:
         _delete(spark, tables.pop())
 
 
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Deletes the tables of :func:`materialize` that are written inside: write or collect results before leaving."""
+    kept = set(getattr(spark, "_quillgraph_tables", []))
+    try:
+        yield
+    finally:
+        tables = getattr(spark, "_quillgraph_tables", [])
+        for path in [t for t in tables if t not in kept]:
+            tables.remove(path)
+            _delete(spark, path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.sources import ntriples as nt
 
-#: Lines that one vectorised call parses.
-BLOCK = 4096
+#: Lines of a block. About one line in 25 may fail before most blocks have to be halved.
+BLOCK = 32
 
 _SPACE = re.compile(nt.SPACE)
 _IRI, _BLANK, _LITERAL = (re.compile(x) for x in (nt.IRI, nt.BLANK, nt.LITERAL))
@@ -73,57 +73,65 @@ def diagnose(line: str) -> str:
     return ""
 
 
-def _parse_block(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
-    """A block at once: s, p and o, and for each line whether it is valid."""
-    got = pc.extract_regex(lines, nt.LINE)
-    valid = got.is_valid()
-    s, p, o = (pc.if_else(valid, got.field(k), pa.scalar(None, pa.string())) for k in "spo")
+def _block_texts(lines: pa.Array, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each block as one text: its lines, each ended by NUL."""
+    size = ends - starts
+    at = np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+    held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), lines.take(pa.array(at)))
+    return pc.binary_join_element_wise(pc.binary_join(held, "\0"), "", "\0")
+
+
+def find_bad(lines: pa.Array, block: int = BLOCK) -> np.ndarray:
+    """Positions of the lines that the fast path doesn't accept, ascending.
+
+    The fast path takes blocks of lines and has one verdict for each: whether all of its lines are triples. All blocks are judged by one
+    vectorised call, which finds no more than a match of the whole block; then both halves of all blocks that failed, and so on
+    down to single lines. Lines that could hold too long a term, or hold a NUL, fail on it though they may be valid: the strict parser decides.
+    """
+    n = len(lines)
+    odd = pc.or_(pc.greater(pc.binary_length(lines), nt.MAX_TERM_BYTES), pc.match_substring(lines, "\0")).to_numpy(zero_copy_only=False)
+    starts = np.arange(0, n, block)
+    ends = np.minimum(starts + block, n)
+    bad = [np.flatnonzero(odd)]
+    odd_before = np.r_[0, np.cumsum(odd)]
+    while len(starts):
+        # A block with such a line fails without being read.
+        fails = odd_before[ends] > odd_before[starts]
+        read = np.flatnonzero(~fails)
+        if len(read):
+            fails[read] = ~pc.match_substring_regex(_block_texts(lines, starts[read], ends[read]), nt.NUL_ENDED_LINES).to_numpy(zero_copy_only=False)
+        starts, ends = starts[fails], ends[fails]
+        single = ends - starts == 1
+        bad.append(starts[single])
+        starts, ends = starts[~single], ends[~single]
+        half = (starts + ends) // 2
+        starts, ends = np.r_[starts, half], np.r_[half, ends]
+    return np.unique(np.concatenate(bad))
+
+
+def parse_batch(lines: pa.Array, block: int = BLOCK, terms: bool = True) -> pa.StructArray:
+    """(s, p, o, reason) for each line; reason is null for valid lines, else the terms are (and all are without ``terms``)."""
+    reasons: list[str | None] = [None] * len(lines)
+    for i in find_bad(lines, block).tolist():
+        reasons[i] = diagnose(lines[i].as_py()) or None
+    why = pa.array(reasons, pa.string())
+    none = pa.nulls(len(lines), pa.string())
+    if not terms:
+        return pa.StructArray.from_arrays([none, none, none, why], ["s", "p", "o", "reason"])
+    # What the strict parser accepts too is parsed like the rest.
+    got = pc.extract_regex(pc.if_else(pc.is_null(why), lines, none), nt.LINE)
+    s, p, o = (pc.if_else(got.is_valid(), got.field(k), none) for k in "spo")
     if pc.any(pc.ends_with(o, nt.XSD_STRING)).as_py():
         o = pc.replace_substring_regex(o, pattern=_XSD_END, replacement="")
-    fits = valid.to_numpy(zero_copy_only=False).copy()
-    for c in (s, p, o):
-        if (pc.max(pc.binary_length(c)).as_py() or 0) > nt.MAX_TERM_BYTES:
-            fits &= pc.less_equal(pc.binary_length(c), nt.MAX_TERM_BYTES).fill_null(False).to_numpy(zero_copy_only=False)
-    return [s, p, o], fits
-
-
-def _bisect(fits: np.ndarray, start: int, bad: list[int]) -> None:
-    """Positions of the bad records: halves without any are left at once."""
-    if fits.all():
-        return
-    if len(fits) == 1:
-        bad.append(start)
-        return
-    half = len(fits) // 2
-    _bisect(fits[:half], start, bad)
-    _bisect(fits[half:], start + half, bad)
-
-
-def parse_batch(lines: pa.Array, block: int = BLOCK) -> pa.StructArray:
-    """(s, p, o, reason) for each line; reason is null for valid lines, else the terms are."""
-    parts: list[list[pa.Array]] = []
-    reasons: list[str | None] = [None] * len(lines)
-    for at in range(0, len(lines), block):
-        part = lines.slice(at, block)
-        cols, fits = _parse_block(part)
-        bad: list[int] = []
-        _bisect(fits, 0, bad)
-        for i in bad:
-            reasons[at + i] = diagnose(part[i].as_py()) or "not a triple"
-        if bad:
-            keep = pa.array(fits)
-            cols = [pc.if_else(keep, c, pa.scalar(None, pa.string())) for c in cols]
-        parts.append(cols)
-    whole = [pa.concat_arrays([c[k] for c in parts]) if parts else pa.array([], pa.string()) for k in range(3)]
-    return pa.StructArray.from_arrays([*whole, pa.array(reasons, pa.string())], ["s", "p", "o", "reason"])
-
-
-def split_rows(df: DataFrame, keys: list[str], column: str = "line", block: int = BLOCK) -> DataFrame:
+    return pa.StructArray.from_arrays([s, p, o, why], ["s", "p", "o", "reason"])
+
+
+def split_rows(df: DataFrame, keys: list[str], column: str = "line", block: int = BLOCK, terms: bool = True) -> DataFrame:
     """Each data line of ``df`` with (s, p, o) or, where it doesn't parse, ``reason``; plus the columns ``keys``.
 
-    The lines are read in Arrow batches and parsed in blocks of ``block`` by one vectorised call, which also tells its
-    failures; a block with any is halved until the bad lines stand alone (no line is parsed by it twice), and only those
-    are looked at by the strict parser that names the reason. No shuffle: the rows stay where they were read. Terms must have 1 to 16382 bytes.
+    The lines are read in Arrow batches and judged in blocks of ``block`` lines by one vectorised call (:func:`find_bad`); failing blocks are
+    halved until the bad lines stand alone, and only those are looked at by the strict parser that names the reason. ``terms`` says whether
+    s, p and o are wanted. No shuffle: the rows stay where they were read. Terms must have 1 to 16382 bytes.
 
     Null, empty and comment lines are no data and give no row. A line of any length is handled; repeated rows come out
     repeatedly (each line is judged for itself; see :func:`rejected` and :func:`accepted`). Keys may be null, and may
@@ -138,7 +146,7 @@ def split_rows(df: DataFrame, keys: list[str], column: str = "line", block: int
         for b in batches:
             if b.num_rows:
                 text = b.column(b.num_columns - 1)
-                got = parse_batch(text.cast(pa.string()), block)
+                got = parse_batch(text.cast(pa.string()), block, terms)
                 why = got.field(3)
                 kept = pc.if_else(pc.is_valid(why), text, pa.scalar(None, text.type))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[got.field(k) for k in range(4)], kept], names=[*names.values(), "s", "p", "o", "reason", "_text"])
@@ -151,7 +159,7 @@ def rejected(df: DataFrame, keys: list[str], column: str = "line") -> DataFrame:
 
     Only the few rejected rows are shuffled to find repeats. Of different bad lines under one key the least remains.
     """
-    out = split_rows(df, keys, column).where(F.col("reason").isNotNull())
+    out = split_rows(df, keys, column, terms=False).where(F.col("reason").isNotNull())
     names = out.columns[: len(keys)]
     return out.groupBy(*names).agg(F.min(F.struct(F.col("_text").alias("line"), "reason")).alias("x")).select(*names, "x.line", "x.reason")
 

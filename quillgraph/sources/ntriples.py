@@ -16,11 +16,11 @@ _PLAIN = r"[^\x00-\x20<>\"{}|^\\]"
 _PLAIN_NO_U = r"[^\x00-\x20<>\"{}|^\\uU]"
 
 
-def _grammar(star: str) -> tuple[str, str, str]:
-    """IRI, literal and whole line; ``star`` repeats the parts of a term."""
+def _grammar(star: str = "*", not_in_literals: str = "") -> tuple[str, str, str]:
+    """IRI, literal and whole line without anchors; ``star`` repeats the parts of a term."""
     iri = rf"<(?:{_PLAIN}|\\+(?:{_PLAIN_NO_U}|{_HEX})){star}\\*>"
-    literal = rf"\"(?:[^\"\\]|\\(?:[tbnrf\"'\\]|{_HEX})){star}\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{iri})?"
-    line = rf"\A{SPACE}(?P<s>{iri}|{BLANK}){SPACE}(?P<p>{iri}){SPACE}(?P<o>{literal}|{iri}|{BLANK}){SPACE}(?:\.{SPACE})?\z"
+    literal = rf"\"(?:[^{not_in_literals}\"\\]|\\(?:[tbnrf\"'\\]|{_HEX})){star}\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{iri})?"
+    line = rf"{SPACE}(?P<s>{iri}|{BLANK}){SPACE}(?P<p>{iri}){SPACE}(?P<o>{literal}|{iri}|{BLANK}){SPACE}(?:\.{SPACE})?"
     return iri, literal, line
 
 
@@ -28,9 +28,12 @@ BLANK = r"_:[*\-_:A-Za-z0-9]*"
 XSD_STRING = "^^<http://www.w3.org/2001/XMLSchema#string>"
 MAX_TERM_BYTES = 16382
 
-IRI, LITERAL, LINE = _grammar("*")
+IRI, LITERAL, _LINE = _grammar()
+LINE = rf"\A{_LINE}\z"
+#: Any number of lines, each ended by NUL, that all are triples; NUL, which literals may hold otherwise, is in none of them.
+NUL_ENDED_LINES = rf"\A(?:{_grammar(not_in_literals=chr(92) + 'x00')[2]}\x00)*\z"
 #: For the JVM: repetition that never gives back, which it runs in a loop and not by recursion (terms may be long).
-_JVM_LINE = _grammar("*+")[2].replace("?P<", "?<")
+_JVM_LINE = rf"\A{_grammar('*+')[2]}\z".replace("?P<", "?<")
 
 
 def is_data(line: Column) -> Column:

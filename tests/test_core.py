@@ -44,6 +44,18 @@ def test_bad_rows_agree_with_the_strict_parser_on_random_lines():
     assert [x is None for x in got.field(3).to_pylist()] == [badrows.diagnose(x) == "" for x in lines]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_blocks_are_judged_line_by_line_in_the_end(block):
+    import pyarrow as pa
+
+    long = "<a> <b> <" + "x" * 16380 + "> ."
+    lines = ["<a> <b>", "<c> .", '<a> <b> "x', 'y" .', '<a> <b> "nul \0 in it" .', "<a> <b> <c> .", "<a> <b> <c> .\0<a> <b> <c> .", long, long[:-3] + "y> .", "", "<a> <b> <c> ."] * 3
+    got = badrows.parse_batch(pa.array(lines), block)
+    assert [x is None for x in got.field(3).to_pylist()] == [badrows.diagnose(x) == "" for x in lines]
+    assert got.field(2).to_pylist()[4] == '"nul \0 in it"' and got.field(2).to_pylist()[7] == "<" + "x" * 16380 + ">"
+    assert badrows.parse_batch(pa.array([], pa.string()), block).to_pylist() == []
+
+
 def test_bad_rows_nulls_repeats_and_clashes(spark):
     rows = [(1, 1, "bad", "k"), (1, 1, "bad", "k"), (None, 2, "worse", "k"), (1, 3, "<a> <b> <c> .", None), (1, 3, "<a> <b> <c> .", None), (1, 4, None, "k")]
     df = spark.createDataFrame(rows, "file_id int, line_no int, line string, s string")

@@ -18,7 +18,13 @@ class Popularity(str, Enum):
 
 @dataclass(frozen=True)
 class EncodeConfig:
-    """Every option has a default; ``start_counter`` is the first id handed out."""
+    """Every option has a default.
+
+    ``start_counter`` is the first id handed out; ``sketch_width`` 0 takes the width of count-min sketches from the size of the input. With
+    ``mine_patterns`` sets of at most ``max_pattern_length`` classes that more than ``min_support`` terms share are found, siblings of the taxonomy are put
+    in the order these suggest, and terms of a class are clustered by the classes of their neighbours. ``hash_ids`` makes ids of hashes instead of a
+    dictionary with dense ids; the options of the latter have no effect then.
+    """
 
     popularity: Popularity = Popularity.EXACT
     top_k: int = 1000
@@ -27,16 +33,23 @@ class EncodeConfig:
     ignore_predicates: bool = False
     distinct: bool = True
     start_counter: int = 0
+    sketch_width: int = 0
+    mine_patterns: bool = False
     min_support: int = 1000
     max_pattern_length: int = 3
     permutations: int = 63
     write_taxonomy: bool = False
+    hash_ids: bool = False
+    log_level: str = "INFO"
+    log_file: str = ""
 
     def __post_init__(self) -> None:
         if self.top_k < 0 or self.start_counter < 0:
             raise ValueError("top_k and start_counter must not be negative")
         if not 0 <= self.permutations <= 63:
             raise ValueError("permutations is a bit set of six orders: 0 to 63")
+        if self.min_support < 0 or self.max_pattern_length < 1 or self.sketch_width < 0:
+            raise ValueError("min_support and sketch_width must not be negative, max_pattern_length must be positive")
         if not 0 < self.sample_per_10000 <= 10000:
             raise ValueError("sample_per_10000 must be in 1..10000")
 

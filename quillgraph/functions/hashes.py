@@ -45,6 +45,41 @@ def fnv1a_56(term: Column) -> Column:
     return F.aggregate(_signed_bytes(term), F.lit(0).cast("long"), step)
 
 
+def _signed_32(x: Column) -> Column:
+    """The lowest 32 bits of a LONG as a signed number."""
+    low = x.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+
+def fnv1a_32(term: Column) -> Column:
+    """FNV-1a over signed bytes, start 0, prime 16777619, in 32 bits."""
+    low = F.lit((1 << 32) - 1)
+    step = lambda h, b: (h.bitwiseXOR(b).bitwiseAND(low) * 16777619).bitwiseAND(low)
+    return _signed_32(F.aggregate(_signed_bytes(term), F.lit(0).cast("long"), step))
+
+
+def times33_32(term: Column) -> Column:
+    """The times-33 hash (see :func:`polynomial_hash`) in 32 bits."""
+    return _signed_32(polynomial_hash(term, modulus=1 << 32))
+
+
+def hash_array(values: Column) -> Column:
+    """One 64-bit number of an array of LONGs, dependent on their order: ``h ^= v + 0x9e3779b9 + (h << 6) + (h >> 2)`` from 0, without sign.
+
+    The sum is formed from halves of 32 bits, as the whole would not fit into a LONG. A null array or element gives null.
+    """
+    low = F.lit((1 << 32) - 1)
+    high = lambda x: F.shiftrightunsigned(x, 32)
+
+    def step(h: Column, v: Column) -> Column:
+        parts = (v, F.shiftleft(h, 6), F.shiftrightunsigned(h, 2))
+        lo = sum((x.bitwiseAND(low) for x in parts), F.lit(0x9E3779B9).cast("long"))
+        hi = sum((high(x) for x in parts), high(lo))
+        return h.bitwiseXOR(F.shiftleft(hi.bitwiseAND(low), 32).bitwiseOR(lo.bitwiseAND(low)))
+
+    return F.aggregate(values, F.lit(0).cast("long"), step)
+
+
 def bucket(term: Column, n: int) -> Column:
     """Hash partition 0..n-1 of a text, reproducible in SQL."""
     return F.pmod(md5_56(term), F.lit(n)).cast("int")

@@ -81,9 +81,19 @@ def path_parts(path: Column) -> dict[str, Column]:
     }
 
 
+# What the beginnings of terms are shortened to.
+SHORT_NAMES = {
+    "http://www.w3.org/2002/07/owl#": "owl_",
+    "http://www.lehigh.edu/~zhp2/2004/0401/univ-bench.owl#": "lubm_",
+    "http://www.w3.org/2000/01/rdf-schema#": "rdfs_",
+    "_:": "blanknode_",
+}
+
+
 def short_iri(term: Column) -> Column:
-    """An IRI without brackets, well-known namespaces as prefixes."""
-    bare = F.regexp_replace(term, "^<|>$", "")
-    for name, space in (("owl", "http://www.w3.org/2002/07/owl#"), ("rdfs", "http://www.w3.org/2000/01/rdf-schema#"), ("rdf", "http://www.w3.org/1999/02/22-rdf-syntax-ns#")):
-        bare = F.when(bare.startswith(space), F.concat(F.lit(f"{name}:"), F.substring(bare, F.lit(len(space) + 1), F.length(bare)))).otherwise(bare)
-    return bare
+    """An IRI without brackets, well-known namespaces (and the sign of blank nodes) shortened; other terms as they are."""
+    bare = F.when(term.startswith("<"), F.regexp_replace(term, "^<|>$", "")).otherwise(term)
+    out = bare
+    for start, short in SHORT_NAMES.items():
+        out = F.when(bare.startswith(start), F.concat(F.lit(short), F.substring(bare, F.lit(len(start) + 1), F.length(bare)))).otherwise(out)
+    return out

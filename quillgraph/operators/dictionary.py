@@ -41,6 +41,23 @@ def origin_tag(triple_id: Column, pos: Column) -> Column:
     return F.shiftleft(triple_id, 2) + pos.cast("long")
 
 
+def tail_occurrences(triples: DataFrame, popular: DataFrame, code=md5_56) -> DataFrame:
+    """(triple_id, pos, term, hash_1, hash_2): occurrences of terms that aren't popular, with the hashes of the two other terms of their triple."""
+    others = {"s": "po", "p": "so", "o": "sp"}
+    coded = triples.select("triple_id", "s", "p", "o", *[code(F.col(c)).alias(f"h{c}") for c in "spo"])
+    items = [F.struct(F.lit(i).alias("pos"), F.col(c).alias("term"), F.col(f"h{a}").alias("hash_1"), F.col(f"h{b}").alias("hash_2")) for i, (c, (a, b)) in enumerate(others.items())]
+    rows = coded.select("triple_id", F.inline(F.array(*items))).where(F.col("term").isNotNull())
+    return rows.join(F.broadcast(popular.select("term")), "term", "left_anti").select("triple_id", "pos", "term", "hash_1", "hash_2")
+
+
+def dictionary_stats(freq: DataFrame, popular: DataFrame) -> DataFrame:
+    """(n_terms, n_occurrences, n_popular, n_triples): how many terms and occurrences there are, and how many of these the popular terms cover."""
+    top = F.broadcast(popular.select("term", F.lit(1).alias("hot")))
+    return freq.join(top, "term", "left").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("freq").alias("n_occurrences"), F.sum(F.when(F.col("hot") == 1, F.col("freq")).otherwise(0)).alias("n_popular"), (F.sum("freq") / 3).cast("long").alias("n_triples")
+    )
+
+
 def term_frequency(occurrences: DataFrame) -> DataFrame:
     """(term, freq)."""
     return occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
@@ -88,9 +105,9 @@ def class_clustered(freq: DataFrame, term_class: DataFrame, k: int, start: int =
     return head.withColumn("class_id", F.lit(None).cast("long")).unionByName(rest.select("id", "term", "class_id"))
 
 
-def hashed(terms: DataFrame) -> DataFrame:
-    """(id, term): the id is a 56-bit hash of the text. Two terms may share an id; see :func:`conflicts`."""
-    return terms.select("term").distinct().select(md5_56(F.col("term")).alias("id"), "term")
+def hashed(terms: DataFrame, code=md5_56) -> DataFrame:
+    """(id, term): the id is a 56-bit hash of the text, by ``code`` (a function of a column). Two terms may share an id; see :func:`conflicts`."""
+    return terms.select("term").distinct().select(code(F.col("term")).alias("id"), "term")
 
 
 def conflicts(dictionary: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.dictionary import explode_terms
+from quillgraph.functions.hashes import md5_56
+from quillgraph.operators.dictionary import explode_terms, hashed
 from quillgraph.operators.hierarchy import lookup
 
 # The orders of the six permutations; the position is the bit in a signature.
@@ -71,10 +72,7 @@ def permutations(encoded: DataFrame, signature: int = 63) -> DataFrame:
     return encoded.select(F.inline(F.array(*rows)))
 
 
-def hash_encode(triples: DataFrame, signature: int = 63) -> tuple[DataFrame, DataFrame]:
-    """(permutations, dictionary) with hash ids: one projection and no join; duplicates are kept."""
-    from quillgraph.functions.hashes import md5_56
-    from quillgraph.operators.dictionary import hashed
-
-    coded = triples.select(*[md5_56(F.col(c)).alias(c) for c in "spo"])
-    return permutations(coded, signature), hashed(explode_terms(triples))
+def hash_encode(triples: DataFrame, signature: int = 63, code=md5_56) -> tuple[DataFrame, DataFrame]:
+    """(permutations, dictionary) with hash ids by ``code``: one projection and no join; duplicates are kept."""
+    coded = triples.select(*[code(F.col(c)).alias(c) for c in "spo"])
+    return permutations(coded, signature), hashed(triples.select(F.explode(F.array("s", "p", "o")).alias("term")).where(F.col("term").isNotNull()), code)

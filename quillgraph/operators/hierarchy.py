@@ -134,10 +134,14 @@ def _rings(cycle: DataFrame) -> DataFrame:
             return now.select("node", "ring")
 
 
-def _offsets(nodes: DataFrame, rounds: list[tuple[DataFrame, int]], with_path: bool, separator: str, deepest_first: bool) -> DataFrame:
+def _offsets(nodes: DataFrame, rounds: list[tuple[DataFrame, int]], with_path: bool, separator: str, deepest_first: bool, first: DataFrame | None = None) -> DataFrame:
     """(node, offset, depth, root, path) of the nodes (node, parent, size, height) of whole trees, with the pointers of :func:`climb`."""
     siblings = [F.col("height").desc(), F.col("node")] if deepest_first else [F.col("node")]
-    laid = prefix_sums(nodes.select("node", "parent", "size", "height"), "parent", siblings, "size", "before")
+    rows = nodes.select("node", "parent", "size", "height")
+    if first is not None:
+        rows = rows.join(first.groupBy("node").agg(F.min("position").alias("position")), "node", "left")
+        siblings = [F.col("position").asc_nulls_last(), *siblings]
+    laid = prefix_sums(rows, "parent", siblings, "size", "before")
     now = materialize(laid.select(
         "node", (F.col("before") + 1).alias("offset"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"),
         *([F.col("node").cast("string").alias("path")] if with_path else []),
@@ -181,7 +185,7 @@ def _hanging(stuck: DataFrame, first: int, deepest_first: bool) -> DataFrame:
 
 def hierarchy(
     df: DataFrame, key: str, parent: str, *, recorded: str | None = None, with_path: bool = True, separator: str = "/", deepest_first: bool = False,
-    below_cycles: bool = False,
+    below_cycles: bool = False, first: DataFrame | None = None,
 ) -> DataFrame:
     """For each node: (node_key, parent_key, root_key, depth, height, n_descendants, range_start, range_end, path, status).
 
@@ -198,6 +202,8 @@ def hierarchy(
     Upward rounds give the sizes, prefix sums over siblings give each node its offset from its parent, and downward
     rounds add the offsets (and paths) of 2^k ancestors in round k. All rounds are joins on unique keys.
 
+    Siblings are laid out by their keys, with ``deepest_first`` the highest subtree first; ``first`` (node, position) puts those it has before all others.
+
     Null keys are no nodes; repeated rows count once (least parent, least recorded height); an empty table gives none.
     Clashing columns aren't read.
     """
@@ -208,7 +214,7 @@ def hierarchy(
     base = _sized(tree, jumps).join(stuck, "node", "left").join(on_cycle, "node", "left")
     base = materialize(base.withColumn("stuck", F.coalesce("stuck", F.lit(False))))
     sound = base.where(~F.col("stuck"))
-    out = base.join(_offsets(sound, jumps.rounds, with_path, separator, deepest_first), "node", "left")
+    out = base.join(_offsets(sound, jumps.rounds, with_path, separator, deepest_first, first), "node", "left")
     ok = ~F.col("stuck")
     size, height, others = F.when(ok, F.col("size")), F.when(ok, F.col("height")), F.lit(0)
     if below_cycles and not jumps.on_cycle.isEmpty():

@@ -38,9 +38,13 @@ def frequent_patterns(trans: DataFrame, threshold: int, max_length: int) -> Data
 
 
 def frequent_pairs(trans: DataFrame, threshold: int) -> DataFrame:
-    """(item_a, item_b, freq) with item_a < item_b, in more than ``threshold`` transactions."""
-    both = frequent_patterns(trans, threshold, 2).where(F.size("items") == 2)
-    return both.select(F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), "freq")
+    """(item_a, item_b, freq) with item_a < item_b, in more than ``threshold`` transactions.
+
+    Transactions are cut to a length, so each has few pairs; they are counted on the map side first.
+    """
+    items = F.array_sort(F.array_distinct("items"))
+    pairs = F.flatten(F.transform(items, lambda a: F.transform(F.filter(items, lambda b: b > a), lambda b: F.struct(a.alias("item_a"), b.alias("item_b")))))
+    return trans.select(F.inline(pairs)).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") > threshold)
 
 
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:

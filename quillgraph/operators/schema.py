@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import hierarchy
-from quillgraph.session import drop, materialize
+from quillgraph.session import drop, materialize, materialize_counted
 
 # The vocabulary.
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
@@ -52,18 +52,17 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     once and a tree of depth d takes log2(d) rounds; cycles end when a round adds nothing.
     """
     jump = materialize(edges.distinct())
-    now = jump if starts is None else materialize(jump.join(starts.distinct(), "sub", "left_semi"))
-    n = now.count()
-    while n:
+    now, n = materialize_counted(jump if starts is None else jump.join(starts.distinct(), "sub", "left_semi"), F.lit(True))
+    before = 0
+    while n != before:
         far = jump.select(F.col("sub").alias("sup"), F.col("sup").alias("far"))
         longer = now.join(far, "sup").select("sub", F.col("far").alias("sup"))
-        old, now = now, materialize(now.unionByName(longer).distinct())
-        if old is not jump:
-            drop(old)
-        n, before = now.count(), n
-        if n == before:
-            break
-        jump = materialize(jump.join(far, "sup").select("sub", F.col("far").alias("sup")).distinct())
+        old = now
+        before = n
+        now, n = materialize_counted(now.unionByName(longer).distinct(), F.lit(True))
+        drop(old)
+        if n != before:
+            jump = materialize(jump.join(far, "sup").select("sub", F.col("far").alias("sup")).distinct())
     return now
 
 
@@ -71,13 +70,14 @@ def direct_edges(edges: DataFrame) -> DataFrame:
     """(sub, sup): edges that no other superclass of ``sub`` implies.
 
     Every class has an edge to rdfs:Class, so that one is implied as soon as there is any other; for the rest only what
-    can be reached from classes side by side under one class has to be known, not the whole closure.
+    can be reached from classes side by side under one class has to be known, not the whole closure. What is above rdfs:Class is
+    reached from everything, so paths need not be followed through it.
     """
     stated = materialize(edges.where(F.col("sup") != CLASS))
     several = materialize(stated.groupBy("sub").count().where(F.col("count") > 1).select("sub"))
     beside = materialize(stated.join(several, "sub", "left_semi").withColumnRenamed("sup", "mid"))
     top = edges.sparkSession.createDataFrame([(CLASS,)], "sub string")
-    reach = closure(edges, beside.select(F.col("mid").alias("sub")).unionByName(top)).withColumnRenamed("sub", "mid")
+    reach = closure(stated, beside.select(F.col("mid").alias("sub")).unionByName(top)).withColumnRenamed("sub", "mid")
     reach = materialize(reach.where(F.col("sup") != CLASS))
     via = beside.join(reach.where(F.col("mid") != CLASS), "mid").where((F.col("mid") != F.col("sup")) & (F.col("mid") != F.col("sub"))).select("sub", "sup")
     above_top = reach.where(F.col("mid") == CLASS).select("sup")
@@ -94,13 +94,27 @@ def tree(edges: DataFrame) -> DataFrame:
     return nodes.join(parents, "class", "left").withColumn("parent", F.when(F.col("class") != CLASS, F.col("parent")))
 
 
-def taxonomy(tree_df: DataFrame) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
+    """(class): superclasses without a superclass other than themselves. A sound schema has one; of one that is only cycles there is none."""
+    real = edges.where(F.col("sub") != F.col("sup"))
+    return edges.select(F.col("sup").alias("class")).distinct().join(real.select(F.col("sub").alias("class")).distinct(), "class", "left_anti")
+
+
+def check_taxonomy(edges: DataFrame, tax: DataFrame) -> DataFrame:
+    """(n_classes, n_numbered, n_outside, n_roots): classes with and without an id, and the roots of the edges."""
+    n = tax.agg(F.count(F.lit(1)).alias("n_classes"), F.count("assigned_id").alias("n_numbered"), F.count_if(F.col("assigned_id").isNull()).alias("n_outside"))
+    return n.withColumn("n_roots", F.lit(roots(edges).count()).cast("long"))
+
+
+def taxonomy(tree_df: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(class, parent, height, assigned_id): ids in post-order from 0, the deepest sibling first, then by name.
 
+    With ``order`` (class, position), siblings that have a position come first, by it.
+
     Only what hangs below rdfs:Class is numbered; other classes have null for height and id. Post-order ids follow from
     the nested-set ranges: the number of nodes before a node in pre-order, less its ancestors, plus its descendants.
     """
-    h = materialize(hierarchy.hierarchy(tree_df, "class", "parent", with_path=False, deepest_first=True))
+    h = materialize(hierarchy.hierarchy(tree_df, "class", "parent", with_path=False, deepest_first=True, first=order and order.select(F.col("class").alias("node"), "position")))
     known = F.col("root_key") == CLASS
     top = h.where(F.col("node_key") == CLASS).select("range_start").first()
     base = top[0] if top else 0
@@ -147,6 +161,24 @@ def min_class(term_class: DataFrame, tax: DataFrame) -> DataFrame:
     return found.where(F.col("class_id").isNotNull()).groupBy("term").agg(F.min("class_id").alias("class_id"))
 
 
+def neighbour_class(triples: DataFrame, best: DataFrame) -> DataFrame:
+    """(term, class_id2): the least class of the terms that are at the other end of a triple with this one, its subject or object.
+
+    ``best`` is (term, class_id). A second class for terms of few statements of their own; terms without any are left out.
+    """
+    ends = triples.where(F.col("p") != TYPE).select("s", "o").distinct()
+    ends = materialize(ends)
+    own = best.select(F.col("term").alias("other"), "class_id")
+    both = ends.select(F.col("s").alias("term"), F.col("o").alias("other")).unionByName(ends.select(F.col("o").alias("term"), F.col("s").alias("other")))
+    found = hierarchy.lookup(both, own, "other").where(F.col("class_id").isNotNull())
+    return found.groupBy("term").agg(F.min("class_id").alias("class_id2"))
+
+
+def instances(triples: DataFrame) -> DataFrame:
+    """(class, term): the terms that are stated to be of a class."""
+    return triples.where(F.col("p") == TYPE).select(F.col("o").alias("class"), F.col("s").alias("term")).distinct()
+
+
 def class_ranges(dictionary: DataFrame) -> DataFrame:
     """(class_id, begin, end): the half-open range of ids of each class in a class-clustered dictionary."""
     own = dictionary.where(F.col("class_id").isNotNull())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,37 @@ def count_min_estimate(terms: DataFrame, counters: DataFrame, width: int) -> Dat
     return out.select("term", F.least(*[F.coalesce(f"_n{r}", F.lit(0)) for r in range(CM_ROWS)]).alias("estimate"))
 
 
+def counters_for_input(n_bytes: int, k: int, *, compressed: bool = False, memory: int = 512 << 20, tasks: int = 8) -> int:
+    """Counters of a row for an input of so many bytes: one for 1000 of them (100 if compressed), at least ``k``, and never more than
+    0.7 of the memory holds in three rows of 8 bytes for each task, though a million always fit."""
+    return min(max(k, n_bytes // (100 if compressed else 1000)), max(1_000_000, int(0.7 * memory / (3 * tasks) / 8)))
+
+
+def count_min_top(occurrences: DataFrame, counters: DataFrame, width: int, k: int, threshold: int = 1) -> DataFrame:
+    """(term, estimate): the ``k`` terms with the greatest estimates of at least ``threshold``, ties by the term, in bounded memory.
+
+    The counters (CM_ROWS * ``width``) are sent to all tasks; each task keeps the k best terms it sees, by batches, so no more than k rows of a
+    task are shuffled, however many distinct terms there are.
+    """
+    t = counters.toArrow()
+    table = np.zeros((CM_ROWS, width), np.int64)
+    table[t.column("row").to_numpy(), t.column("cell").to_numpy()] = t.column("n").to_numpy()
+    shared = occurrences.sparkSession.sparkContext.broadcast(table)
+    cells = occurrences.where(F.col("term").isNotNull()).select("term", *[_cell(F.col("term"), r, width).alias(f"c{r}") for r in range(CM_ROWS)])
+
+    def best(batches):
+        held = pa.table({"term": pa.array([], pa.string()), "estimate": pa.array([], pa.int64())})
+        for b in batches:
+            estimate = np.min([shared.value[r, b.column(r + 1).to_numpy()] for r in range(CM_ROWS)], axis=0) if b.num_rows else np.array([], np.int64)
+            new = pa.table({"term": b.column(0).cast(pa.string()), "estimate": pa.array(estimate, pa.int64())}).filter(pc.greater_equal(pc.field("estimate"), threshold))
+            held = pa.concat_tables([held, new]).group_by("term").aggregate([("estimate", "max")]).rename_columns(["term", "estimate"])
+            held = held.take(pc.select_k_unstable(held, k, [("estimate", "descending"), ("term", "ascending")])) if held.num_rows > k else held
+        yield from held.combine_chunks().to_batches()
+
+    found = cells.mapInArrow(best, "term string, estimate long").groupBy("term").agg(F.max("estimate").alias("estimate"))
+    return found.orderBy(F.col("estimate").desc(), "term").limit(k)
+
+
 def popular_threshold(n_terms: int, size: int, counters: DataFrame, k: int) -> DataFrame:
     """(threshold): 4 * max(1, n_terms // size), or the least k-th largest counter of the rows if that is more."""
     kth = None
@@ -47,6 +81,20 @@ def top_k_sketch(occurrences: DataFrame, k: int, max_items: int = 10_000) -> Dat
     return got.select(F.explode("t").alias("t")).select(F.col("t.item").alias("term"), F.col("t.count").alias("estimate"))
 
 
+def top_k_state(occurrences: DataFrame, by: str | None = None, max_items: int = 10_000) -> DataFrame:
+    """([by,] state): bounded sketches of the frequent terms, to be stored and united later."""
+    rows = occurrences.where(F.col("term").isNotNull())
+    agg = F.expr(f"approx_top_k_accumulate(term, {int(max_items)})").alias("state")
+    return rows.groupBy(by).agg(agg) if by else rows.agg(agg)
+
+
+def united_top_k(states: DataFrame, k: int, max_items: int = 10_000) -> DataFrame:
+    """(term, estimate): the k most frequent terms over all stored sketches."""
+    one = states.agg(F.expr(f"approx_top_k_combine(state, {int(max_items)})").alias("state"))
+    got = one.select(F.explode(F.expr(f"approx_top_k_estimate(state, {int(k)})")).alias("t"))
+    return got.select(F.col("t.item").alias("term"), F.col("t.count").alias("estimate"))
+
+
 def rescored_candidates(occurrences: DataFrame, k: int, width: int, threshold: int) -> DataFrame:
     """(term, estimate): candidates of the top-k sketch with count-min estimates of at least ``threshold``, ties by term desc."""
     cand = top_k_sketch(occurrences, 2 * k)

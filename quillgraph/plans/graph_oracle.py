@@ -61,6 +61,12 @@ clustered AS (SELECT id, term, CAST(NULL AS BIGINT) AS class_id FROM head UNION
   SELECT row_number() OVER (ORDER BY b.class_id ASC NULLS LAST, f.term) - 1 + (SELECT count(*) FROM head), f.term, b.class_id
   FROM freq f LEFT JOIN best b ON b.term = f.term WHERE f.term NOT IN (SELECT term FROM head)),
 spans AS (SELECT class_id, min(id) AS begin, max(id) + 1 AS "end" FROM clustered WHERE class_id IS NOT NULL GROUP BY 1)"""
+#: The same over all statements of the graph, as the whole encoding run takes them.
+_RUN = _TAX + ", gocc AS (SELECT s AS term FROM g UNION ALL SELECT p FROM g UNION ALL SELECT o FROM g), freq AS (SELECT term, count(*) AS freq FROM gocc GROUP BY 1)" + _CLUSTER.removeprefix(_TAX)[
+    len(_TOP.removeprefix(_T)) - len(_TOP.removeprefix(_FREQ)) :
+]
+_X = """k AS (SELECT DISTINCT node_key FROM class_nodes WHERE node_key IS NOT NULL),
+x AS (SELECT node_key, node_key % (CAST(1 AS BIGINT) << (node_key % 61)) AS x FROM k)"""
 _CM = " UNION ALL ".join(f"SELECT {r} AS r, term, {_md5(f"'{r}:' || term")} % {WIDTH} AS cell FROM occ" for r in range(3))
 _CMT = f", cells AS ({_CM}), counters AS (SELECT r, cell, count(*) AS n FROM cells GROUP BY 1, 2)"
 _LINE = nt.LINE.replace("'", "''")
@@ -156,4 +162,73 @@ ORACLE = {
     "path_parts": f"""SELECT DISTINCT file_path, {_NAME} AS file_name, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '' END AS parent,
         CASE WHEN contains({_NAME}, '.') THEN regexp_extract({_NAME}, '\\.[^.]*$') ELSE '' END AS extension, regexp_extract({_NAME}, '^[^.]*') AS stem,
         CASE WHEN contains({_NAME}, '.') THEN regexp_replace({_NAME}, '\\.[^.]*$', '') ELSE {_NAME} END AS base FROM file_infos WHERE file_path IS NOT NULL""",
+    "dict_text_roundtrip": f"WITH {_DICT} SELECT * FROM dict",
+    "triples_text_roundtrip": f"WITH {_ENC} SELECT DISTINCT s, p, o FROM e",
+    "permutations_written": f"WITH {_ENC} SELECT 'pos' AS perm, p AS c0, o AS c1, s AS c2 FROM e UNION ALL SELECT 'osp', o, s, p FROM e",
+    "sorted_runs_written": f"WITH {_ENC}, u AS (SELECT DISTINCT s, p, o FROM e) SELECT count(*) AS n_rows, TRUE AS all_short, TRUE AS all_disjoint FROM u",
+    "taxonomy_text_roundtrip": f"WITH RECURSIVE {_TAX} SELECT class, assigned_id, parent FROM tax WHERE assigned_id IS NOT NULL",
+    "graph_dot": f"WITH RECURSIVE {_TAX} SELECT '\"' || class || '\" -> \"' || parent || '\";' AS line FROM tree WHERE parent IS NOT NULL",
+    "ntriples_gzip": f"WITH {_T} SELECT DISTINCT s, p, {_STRIP.format('o')} AS o FROM t WHERE regexp_matches(s || ' ' || p || ' ' || o || ' .', '{_LINE}')",
+    "ntriples_bzip2": f"WITH {_T} SELECT DISTINCT s, p, {_STRIP.format('o')} AS o FROM t WHERE regexp_matches(s || ' ' || p || ' ' || o || ' .', '{_LINE}')",
+    "input_files": "SELECT * FROM (VALUES (TRUE, CAST(3 AS BIGINT), TRUE, CAST(6 AS BIGINT)), (FALSE, 3, TRUE, 6)) v(compressed, n_files, all_filled, n_listed)",
+    "input_splits": """WITH f AS (SELECT file_id, max(file_start + file_size) AS size, bool_and(splittable) AS splittable FROM file_infos WHERE file_id IS NOT NULL GROUP BY 1),
+        k AS (SELECT * FROM f WHERE size IS NOT NULL), e AS (SELECT greatest(1, CAST((sum(size) + 15) // 16 AS BIGINT)) AS each FROM k),
+        s AS (SELECT file_id, size, CASE WHEN splittable THEN each ELSE greatest(size, 1) END AS step FROM k, e),
+        x AS (SELECT *, unnest(range(0, greatest(size, 1), step)) AS start FROM s) SELECT file_id, start, least(step, size - start) AS size FROM x""",
+    "sketch_widths": f"""WITH n AS (SELECT CAST(sum(file_size) AS BIGINT) AS b FROM (SELECT DISTINCT entry_id, file_size FROM file_infos)),
+        f AS (SELECT * FROM (VALUES (1), (1000), (1000000)) v(factor), (VALUES (FALSE), (TRUE)) c(compressed))
+        SELECT CAST(factor AS BIGINT) AS factor, compressed, CAST(least(greatest({POPULAR}, b * factor // CASE WHEN compressed THEN 100 ELSE 1000 END), 1957341) AS BIGINT) AS width FROM f, n""",
+    "cms_top_terms": f"""WITH {_TERMS} {_CMT}, one AS (SELECT DISTINCT r, term, cell FROM cells), est AS (SELECT term, min(n) AS estimate FROM one JOIN counters USING (r, cell) GROUP BY 1)
+        SELECT term, estimate FROM est ORDER BY estimate DESC, term LIMIT 100""",
+    "mg_recall": f"""WITH {_FREQ} SELECT count(*) FILTER (WHERE freq * 200 >= (SELECT sum(freq) FROM freq)) AS n_heavy, CAST(0 AS BIGINT) AS missing_one, CAST(0 AS BIGINT) AS missing_united,
+        CAST(0 AS BIGINT) AS missing_rescored FROM freq""",
+    "approx_distinct_checked": f"WITH {_T} SELECT p, count(DISTINCT o) AS n_exact, TRUE AS within FROM t GROUP BY 1",
+    "distinct_sketches_checked": f"WITH {_OCC} SELECT count(DISTINCT term) AS n_terms, TRUE AS terms_within, (SELECT count(DISTINCT s) FROM t) AS n_s, TRUE AS s_within FROM occ",
+    "dict_hash_murmur": f"WITH {_TERMS} SELECT count(*) AS n_terms, count(*) AS n_ids, TRUE AS in_range FROM terms",
+    "murmur_32": f"""WITH {_T}, u AS (SELECT DISTINCT p AS term FROM t), h AS (SELECT term, hex(encode(term)) AS x, strlen(term) AS n FROM u),
+        w AS (SELECT term, n, list_transform(range(0, (n + 3) // 4), lambda i: list_sum(list_transform(range(0, 4), lambda j:
+              CASE WHEN i * 4 + j < n THEN CAST('0x' || substr(x, i * 8 + j * 2 + 1, 2) AS BIGINT) << (8 * j) ELSE 0 END))) AS words FROM h),
+        k AS (SELECT term, n, list_transform(words, lambda v: ((((v * 3432918353) % 4294967296) << 15) | (((v * 3432918353) % 4294967296) >> 17)) % 4294967296 * CAST(461845907 AS HUGEINT) % 4294967296) AS ks FROM w),
+        b AS (SELECT term, n, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, len(ks)), lambda i: ks[i + 1] + CASE WHEN i * 4 + 4 <= n THEN CAST(0 AS HUGEINT) ELSE CAST(4294967296 AS HUGEINT) END)),
+              lambda h, v: CASE WHEN v >= 4294967296 THEN xor(h, v - 4294967296) ELSE (((xor(h, v) << 13) | (xor(h, v) >> 19)) % 4294967296 * 5 + 3864292196) % 4294967296 END) AS h FROM k),
+        f1 AS (SELECT term, xor(h, CAST(n AS HUGEINT)) AS h FROM b), f2 AS (SELECT term, xor(h, h >> 16) * 2246822507 % 4294967296 AS h FROM f1),
+        f3 AS (SELECT term, xor(h, h >> 13) * 3266489909 % 4294967296 AS h FROM f2), f4 AS (SELECT term, xor(h, h >> 16) AS h FROM f3)
+        SELECT term, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash FROM f4""",
+    "murmur_known": """SELECT term, CAST(h32 AS INTEGER) AS h32, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high FROM (VALUES ('', 0, 0, 0), ('hello', 613153351, -3758069500696749310, 6565844092913065241),
+        ('The quick brown fox jumps over the lazy dog', 776992547, -2068352364225029268, 8809951995912426311)) v(term, h32, low, high)""",
+    "byte_hashes": f"""WITH {_T}, u AS (SELECT DISTINCT p AS term FROM t UNION SELECT * FROM (VALUES (''), ('é'), ('漢字😀'), ('naïve café')) v(x)),
+        h AS (SELECT term, list_transform(range(0, strlen(term)), lambda i: CAST('0x' || substr(hex(encode(term)), i * 2 + 1, 2) AS HUGEINT)) AS raw FROM u),
+        b AS (SELECT term, list_transform(raw, lambda v: CASE WHEN v > 127 THEN v - 256 ELSE v END) AS bytes FROM h),
+        g AS (SELECT term, list_reduce(list_prepend(CAST(0 AS HUGEINT), bytes), lambda h, v: (xor(h, (v + 4294967296) % 4294967296) * 16777619) % 4294967296) AS f32,
+              list_reduce(list_prepend(CAST(0 AS HUGEINT), bytes), lambda h, v: (xor(h, (v + 72057594037927936) % 72057594037927936) * 16777619) % 72057594037927936) AS f56,
+              list_reduce(list_prepend(CAST(5381 AS HUGEINT), bytes), lambda h, v: (h * 33 + v + 4294967296) % 4294967296) AS t32,
+              list_reduce(list_prepend(CAST(5381 AS HUGEINT), bytes), lambda h, v: (h * 33 + v + 72057594037927936) % 72057594037927936) AS t56 FROM b)
+        SELECT term, CAST(CASE WHEN f32 >= 2147483648 THEN f32 - 4294967296 ELSE f32 END AS INTEGER) AS fnv_32, CAST(f56 AS BIGINT) AS fnv_56,
+               CAST(CASE WHEN t32 >= 2147483648 THEN t32 - 4294967296 ELSE t32 END AS INTEGER) AS times33_32, CAST(t56 AS BIGINT) AS times33_56 FROM g""",
+    "array_hash": """WITH a AS (SELECT DISTINCT list_filter(pattern_elements, lambda x: x IS NOT NULL) AS items FROM patterns WHERE pattern_elements IS NOT NULL),
+        h AS (SELECT items, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(items, lambda x: CAST(x AS HUGEINT))),
+              lambda h, v: xor(h, (v + 2654435769 + (h * 64) % 18446744073709551616 + h // 4) % 18446744073709551616)) AS h FROM a)
+        SELECT array_to_string(items, ' ') AS items, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM h""",
+    "bit_positions": f"""WITH {_T} SELECT triple_id, CAST(CASE WHEN triple_id <> 0 THEN instr(reverse(bin(triple_id)), '1') - 1 END AS INTEGER) AS least_set,
+        CAST(instr(reverse(bin(triple_id)) || '0', '0') - 1 AS INTEGER) AS first_zero FROM t""",
+    "integer_codecs": f"""WITH {_X}, n AS (SELECT *, CAST(greatest(1, ceil(length(bin(x)) / 7.0)) AS BIGINT) AS v, CAST(CASE WHEN x < 32 THEN 0 ELSE ceil((length(bin(x)) - 5) / 8.0) END AS BIGINT) AS m FROM x)
+        SELECT node_key, array_to_string(list_transform(range(0, v), lambda i: printf('%02X', ((x >> (7 * i)) & 127) + CASE WHEN i < v - 1 THEN 128 ELSE 0 END)), '') AS varint,
+        array_to_string(list_transform(range(0, v), lambda i: printf('%02X', ((x >> (7 * (v - 1 - i))) & 127) + CASE WHEN i < v - 1 THEN 128 ELSE 0 END)), '') AS varint_big,
+        array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', (x >> (8 * (7 - i))) & 255)), '') AS fixed, array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', (x >> (8 * i)) & 255)), '') AS fixed_little,
+        array_to_string(list_transform(range(0, m + 1), lambda i: printf('%02X', ((x >> (8 * (m - i))) & 255) + CASE WHEN i = 0 THEN m * 32 ELSE 0 END)), '') AS sized,
+        array_to_string(list_transform(range(0, 8), lambda i: printf('%02X', ((x >> (8 * (7 - i))) & 255) + CASE WHEN i = 0 THEN 128 ELSE 0 END)), '') AS headed, CAST(m + 1 AS INTEGER) AS n_sized FROM n""",
+    "integer_codecs_roundtrip": f"WITH {_X} SELECT node_key, x AS varint, x AS varint_big, x AS fixed, x AS fixed_little, x AS sized, x AS headed, 1 AS header FROM x",
+    "short_iris": f"""WITH {_G}, u AS (SELECT DISTINCT unnest([s, p, o]) AS term FROM g), b AS (SELECT term, CASE WHEN starts_with(term, '<') THEN regexp_replace(regexp_replace(term, '^<', ''), '>$', '') ELSE term END AS bare FROM u)
+        SELECT term, CASE WHEN starts_with(bare, 'http://www.w3.org/2002/07/owl#') THEN 'owl_' || substr(bare, 31) WHEN starts_with(bare, 'http://www.lehigh.edu/~zhp2/2004/0401/univ-bench.owl#') THEN 'lubm_' || substr(bare, 54)
+        WHEN starts_with(bare, 'http://www.w3.org/2000/01/rdf-schema#') THEN 'rdfs_' || substr(bare, 38) WHEN starts_with(bare, '_:') THEN 'blanknode_' || substr(bare, 3) ELSE bare END AS short FROM b""",
+    "schema_roots": f"WITH {_G} SELECT DISTINCT sup AS class FROM stated WHERE sup NOT IN (SELECT sub FROM stated)",
+    "taxonomy_check": f"""WITH RECURSIVE {_TAX} SELECT count(*) AS n_classes, count(assigned_id) AS n_numbered, count(*) - count(assigned_id) AS n_outside,
+        (SELECT count(DISTINCT sup) FROM edges WHERE sup NOT IN (SELECT sub FROM edges)) AS n_roots FROM tax""",
+    "class_instances": f"WITH {_G} SELECT DISTINCT o AS class, s AS term FROM g WHERE p = '{sch.TYPE}'",
+    "term_neighbour_class": f"""WITH RECURSIVE {_TAX}, ends AS (SELECT s AS term, o AS other FROM g WHERE p <> '{sch.TYPE}' UNION SELECT o, s FROM g WHERE p <> '{sch.TYPE}')
+        SELECT e.term, min(b.class_id) AS class_id2 FROM ends e JOIN best b ON b.term = e.other GROUP BY 1""",
+    "range_spread": f"""WITH {_DICT}, z AS (SELECT count(*) AS n FROM dict), b AS (SELECT term AS bound FROM range(3) k(i), z, dict WHERE id = z.n * (k.i + 1) // 4 - 1),
+        x AS (SELECT term, (SELECT count(*) FROM b WHERE bound < term) AS part FROM terms) SELECT CAST(part AS INTEGER) AS part, count(*) AS n, min(term) AS first_term FROM x GROUP BY 1""",
+    "pipeline_dictionary": f"WITH RECURSIVE {_RUN} SELECT * FROM clustered",
+    "pipeline_triples": f"""WITH RECURSIVE {_RUN} SELECT DISTINCT a.id AS s, b.id AS p, c.id AS o FROM g JOIN clustered a ON g.s = a.term JOIN clustered b ON g.p = b.term JOIN clustered c ON g.o = c.term""",
 }

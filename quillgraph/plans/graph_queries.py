@@ -6,18 +6,23 @@ The graph is the table ``triples`` (each id once, rows with all three terms); it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions import hashes, strings
+from quillgraph import pipeline
+from quillgraph.config import EncodeConfig
+from quillgraph.functions import codecs, hashes, murmur, strings
 from quillgraph.operators import dictionary as dic
 from quillgraph.operators import encode as enc
 from quillgraph.operators import partition as part
 from quillgraph.operators import patterns as pat
 from quillgraph.operators import schema as sch
 from quillgraph.operators import sketches as sk
-from quillgraph.session import materialize
+from quillgraph.session import materialize, shared_dir
 from quillgraph.sources import ntriples as nt
+from quillgraph.sources import splits, stores
 from quillgraph.sources.tables import statements, table
 
 POPULAR = 500
@@ -80,11 +85,7 @@ def tail_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tail_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences of terms that aren't popular, with the hashes of the two other terms of their triple."""
-    freq = _freq(spark, d)
-    t = statements(spark, d).select("triple_id", *[F.struct(c, *[hashes.md5_56(F.col(x)).alias(f"h{i}") for i, x in enumerate(o)]).alias(c) for c, o in (("s", "po"), ("p", "so"), ("o", "sp"))])
-    rows = t.select("triple_id", F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c)[c].alias("term"), F.col(c)["h0"].alias("hash_1"), F.col(c)["h1"].alias("hash_2")) for i, c in enumerate("spo")])))
-    return rows.join(F.broadcast(dic.top_terms(freq, POPULAR).select("term")), "term", "left_anti")
+    return dic.tail_occurrences(statements(spark, d), dic.top_terms(_freq(spark, d), POPULAR))
 
 
 def popular_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -188,12 +189,8 @@ def incremental_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_dictionary_stats(spark: SparkSession, d: str) -> DataFrame:
-    """How much the popular terms cover."""
     freq = _freq(spark, d)
-    top = F.broadcast(dic.top_terms(freq, POPULAR).select("term", F.lit(1).alias("hot")))
-    return freq.join(top, "term", "left").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("freq").alias("n_occurrences"), F.sum(F.when(F.col("hot") == 1, F.col("freq")).otherwise(0)).alias("n_popular"), (F.sum("freq") / 3).cast("long").alias("n_triples")
-    )
+    return dic.dictionary_stats(freq, dic.top_terms(freq, POPULAR))
 
 
 def ntriples_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -390,6 +387,247 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return paths.withColumns(strings.path_parts(F.col("file_path")))
 
 
+def _written(spark: SparkSession) -> str:
+    """A new folder for what a query writes and reads back."""
+    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_quillgraph_tables"):
+        spark._quillgraph_tables = []
+    spark._quillgraph_tables.append(path)
+    return path
+
+
+def dict_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary written as text in gzip and read again."""
+    at = _written(spark)
+    stores.write_dictionary_text(dic.lexicographic(_occ(spark, d)), at)
+    return stores.read_dictionary_text(spark, at)
+
+
+def triples_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    at = _written(spark)
+    stores.write_triples_text(_encoded(spark, d), at)
+    return stores.read_triples_text(spark, at)
+
+
+def permutations_written(spark: SparkSession, d: str) -> DataFrame:
+    """Two orders of the triples from the files of all six."""
+    at = _written(spark)
+    stores.write_permutations(_encoded(spark, d), at, rows_per_file=10_000)
+    out = [stores.read_permutation(spark, at, p).withColumn("perm", F.lit(p)) for p in ("pos", "osp")]
+    return out[0].unionByName(out[1]).select("perm", "c0", "c1", "c2")
+
+
+def sorted_runs_written(spark: SparkSession, d: str) -> DataFrame:
+    """Per file of sorted runs whether it is sorted and short, and over all files the rows."""
+    at = _written(spark)
+    stores.write_sorted_runs(enc.distinct_spo(_encoded(spark, d)), at, ["s", "p", "o"], 5_000)
+    rows = spark.read.parquet(at).withColumn("file", F.input_file_name())
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "p", "o")).alias("first"), F.max(F.struct("s", "p", "o")).alias("last"))
+    after = F.lead("first").over(Window.orderBy("first"))
+    return files.withColumn("after", after).agg(
+        F.sum("n").alias("n_rows"), F.bool_and(F.col("n") <= 5_000).alias("all_short"), F.bool_and(F.coalesce(F.col("last") < F.col("after"), F.lit(True))).alias("all_disjoint")
+    )
+
+
+def taxonomy_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    at = _written(spark)
+    stores.write_taxonomy_text(sch.taxonomy_lines(_taxonomy(_graph(spark, d))), at)
+    ids, parents = stores.read_taxonomy_text(spark, at)
+    return ids.join(parents, "class")
+
+
+def graph_dot(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the class tree as a DOT graph."""
+    at = _written(spark)
+    stores.write_graph_dot(_taxonomy(_graph(spark, d)), at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+def _lines_of(spark, d):
+    return statements(spark, d).select(nt.serialize(F.col("s"), F.col("p"), F.col("o")).alias("value"))
+
+
+def _read_compressed(spark, d, codec):
+    at = _written(spark)
+    _lines_of(spark, d).write.option("compression", codec).text(at)
+    return nt.read_ntriples(spark, at).distinct()
+
+
+def ntriples_gzip(spark: SparkSession, d: str) -> DataFrame:
+    """The statements written as N-Triples in gzip and read again."""
+    return _read_compressed(spark, d, "gzip")
+
+
+def ntriples_bzip2(spark: SparkSession, d: str) -> DataFrame:
+    return _read_compressed(spark, d, "bzip2")
+
+
+def input_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written files by kind: how many are compressed and hold anything, and whether the listing agrees."""
+    at = _written(spark)
+    lines = materialize(_lines_of(spark, d))
+    for codec in ("gzip", "none"):
+        lines.repartition(3).write.mode("append").option("compression", codec).text(at)
+    stats = splits.input_stats(spark, at).where(F.col("path").contains("part-"))
+    listed = len([f for f, _ in splits.list_files(spark, at, "part-")])
+    return stats.groupBy("compressed").agg(F.count(F.lit(1)).alias("n_files"), F.bool_and(F.col("size") > 0).alias("all_filled"), F.lit(listed).cast("long").alias("n_listed"))
+
+
+def input_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Files (the entries' ends make their sizes) cut into ranges of a 16th of all bytes."""
+    t = table(spark, d, "file_infos").where(F.col("file_id").isNotNull())
+    files = t.groupBy(F.col("file_id").alias("path")).agg(F.max(F.col("file_start") + F.col("file_size")).alias("size"), F.bool_and("splittable").alias("splittable"))
+    return splits.cut_ranges(files, 16).withColumnRenamed("path", "file_id")
+
+
+def sketch_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Counters that inputs of the sizes of ``file_infos`` get: for all together, and compressed."""
+    n = table(spark, d, "file_infos").select("entry_id", "file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
+    rows = [(f, c, sk.counters_for_input(int(n * f), POPULAR, compressed=c)) for f in (1, 1000, 1000_000) for c in (False, True)]
+    return spark.createDataFrame(rows, "factor long, compressed boolean, width long")
+
+
+def cms_top_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms with the greatest count-min estimates, kept in bounded memory."""
+    occ = _occ(spark, d)
+    return sk.count_min_top(occ, sk.count_min(occ, WIDTH), WIDTH, 100)
+
+
+def mg_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Terms with at least 1/200 of the occurrences, and how many of them each top-k sketch (in one, and united of two) and its rescored candidates lack."""
+    occ = materialize(_occ(spark, d))
+    freq = dic.term_frequency(occ)
+    total = occ.count()
+    heavy = materialize(freq.where(F.col("freq") * 200 >= total).select("term"))
+    one = sk.top_k_sketch(occ, 400)
+    two = sk.united_top_k(sk.top_k_state(occ.withColumn("half", F.pmod("triple_id", F.lit(2))), "half"), 400)
+    rescored = sk.rescored_candidates(occ, 400, WIDTH, 1)
+    missing = [heavy.join(F.broadcast(x.select("term").limit(400)), "term", "left_anti").count() for x in (one, two, rescored)]
+    return spark.createDataFrame([(heavy.count(), *missing)], "n_heavy long, missing_one long, missing_united long, missing_rescored long")
+
+
+def approx_distinct_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per predicate the exact number of distinct objects, and whether the estimate is within five of its standard errors."""
+    t = materialize(statements(spark, d))
+    exact = t.groupBy("p").agg(F.countDistinct("o").alias("n_exact"))
+    both = exact.join(sk.approx_distinct(t, "o", "p", 0.02), "p")
+    return both.select("p", "n_exact", (F.abs(F.col("n_approx") - F.col("n_exact")) <= 1 + 5 * 0.02 * F.col("n_exact")).alias("within"))
+
+
+def distinct_sketches_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of distinct terms and subjects, and whether the estimates, the latter united of stored sketches, are near."""
+    t, occ = materialize(statements(spark, d)), _occ(spark, d)
+    n_terms, n_s = occ.agg(F.countDistinct("term")).first()[0], t.agg(F.countDistinct("s")).first()[0]
+    terms, united = sk.approx_distinct(occ, "term").first()[0], sk.united_distinct(sk.distinct_sketch(t, "s", "p")).first()[0]
+    return spark.createDataFrame([(n_terms, abs(terms - n_terms) <= 0.1 * n_terms, n_s, abs(united - n_s) <= 0.1 * n_s)], "n_terms long, terms_within boolean, n_s long, s_within boolean")
+
+
+def dict_hash_murmur(spark: SparkSession, d: str) -> DataFrame:
+    """Hash ids by the 56 bits of a 128-bit hash: as many ids as terms (less conflicts), all in range, and the hash of every term the same when it is computed alone."""
+    words = materialize(dic.hashed(_occ(spark, d), murmur.murmur3_56_column))
+    return words.agg(F.count(F.lit(1)).alias("n_terms"), F.countDistinct("id").alias("n_ids"), F.bool_and(F.col("id").between(0, (1 << 56) - 1)).alias("in_range"))
+
+
+def murmur_32(spark: SparkSession, d: str) -> DataFrame:
+    """The 32-bit hash of every predicate, over its UTF-8 bytes."""
+    terms = statements(spark, d).select(F.col("p").alias("term")).distinct()
+    return terms.select("term", murmur.murmur3_32_column(F.col("term")).alias("hash"))
+
+
+def murmur_known(spark: SparkSession, d: str) -> DataFrame:
+    """Published values of the 32-bit and 128-bit hashes."""
+    texts = spark.createDataFrame([("",), ("hello",), ("The quick brown fox jumps over the lazy dog",)], "term string")
+    both = murmur.murmur3_128_column(F.col("term"))
+    return texts.select("term", murmur.murmur3_32_column(F.col("term")).alias("h32"), both["low"].alias("low"), both["high"].alias("high"))
+
+
+def byte_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """FNV-1a and times-33 hashes of terms (subjects and predicates), in 32 and 56 bits."""
+    t = statements(spark, d)
+    terms = t.select(F.col("p").alias("term")).unionByName(spark.createDataFrame([("",), ("é",), ("漢字\U0001f600",), ("naïve café",)], "term string")).distinct()
+    x = F.col("term")
+    return terms.select("term", hashes.fnv1a_32(x).alias("fnv_32"), hashes.fnv1a_56(x).alias("fnv_56"), hashes.times33_32(x).alias("times33_32"), hashes.polynomial_hash(x).alias("times33_56"))
+
+
+def array_hash(spark: SparkSession, d: str) -> DataFrame:
+    """A hash of every array of ``patterns``, nulls left out."""
+    arrays = table(spark, d, "patterns").select(F.array_compact("pattern_elements").alias("items")).where(F.col("items").isNotNull()).distinct()
+    return arrays.select(F.array_join("items", " ").alias("items"), hashes.hash_array(F.col("items")).alias("hash"))
+
+
+def bit_positions(spark: SparkSession, d: str) -> DataFrame:
+    t = statements(spark, d).select("triple_id")
+    return t.select("triple_id", strings.least_set_bit(F.col("triple_id")).cast("int").alias("least_set"), strings.first_zero_bit(F.col("triple_id")).cast("int").alias("first_zero"))
+
+
+def _numbers(spark, d):
+    """Numbers of all lengths, from the keys of ``class_nodes``."""
+    keys = table(spark, d, "class_nodes").where(F.col("node_key").isNotNull()).select("node_key").distinct()
+    return keys.select("node_key", F.expr("pmod(node_key, shiftleft(1L, cast(node_key % 61 as int)))").alias("x"))
+
+
+def integer_codecs(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers encoded in six ways, as hex digits."""
+    x = F.col("x")
+    return _numbers(spark, d).select(
+        "node_key", F.hex(codecs.varint_column(x)).alias("varint"), F.hex(codecs.varint_column(x, big=True)).alias("varint_big"), F.hex(codecs.fixed_column(x, 8)).alias("fixed"),
+        F.hex(codecs.fixed_column(x, 8, little=True)).alias("fixed_little"), F.hex(codecs.sized_column(x)).alias("sized"), F.hex(codecs.headed_column(x, F.lit(1))).alias("headed"),
+        strings.vlong_bytes(x).alias("n_sized"),
+    )
+
+
+def integer_codecs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """What six decoders make of the encoded numbers."""
+    x = F.col("x")
+    value, header = codecs.headed_value(codecs.headed_column(x, F.lit(1)))
+    return _numbers(spark, d).select(
+        "node_key", codecs.varint_value(codecs.varint_column(x)).alias("varint"), codecs.varint_value(codecs.varint_column(x, big=True), big=True).alias("varint_big"),
+        codecs.fixed_value(codecs.fixed_column(x, 8)).alias("fixed"), codecs.fixed_value(codecs.fixed_column(x, 8, little=True), little=True).alias("fixed_little"),
+        codecs.sized_value(codecs.sized_column(x)).alias("sized"), value.alias("headed"), header.alias("header"),
+    )
+
+
+def short_iris(spark: SparkSession, d: str) -> DataFrame:
+    terms = graph(spark, d).select(F.explode(F.array("s", "p", "o")).alias("term")).distinct()
+    return terms.select("term", strings.short_iri(F.col("term")).alias("short"))
+
+
+def schema_roots(spark: SparkSession, d: str) -> DataFrame:
+    return sch.roots(sch.stated_edges(graph(spark, d)))
+
+
+def taxonomy_check(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(spark, d)
+    return sch.check_taxonomy(sch.subclass_edges(g), _taxonomy(g))
+
+
+def class_instances(spark: SparkSession, d: str) -> DataFrame:
+    return sch.instances(graph(spark, d))
+
+
+def term_neighbour_class(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(spark, d)
+    return sch.neighbour_class(g, materialize(sch.min_class(materialize(sch.term_classes(g)), _taxonomy(g))))
+
+
+def range_spread(spark: SparkSession, d: str) -> DataFrame:
+    """How many parts of a range partition share a task with another, of terms moved by ranges."""
+    terms = materialize(_occ(spark, d).select("term").distinct())
+    moved = part.spread(terms, "term", part.boundaries(terms, "term", 4)).withColumn("task", F.spark_partition_id())
+    spans = moved.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first_term"))
+    return spans.select("part", "n", "first_term")
+
+
+def pipeline_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of the whole encoding run over the graph."""
+    out = pipeline.encode_graph(graph(spark, d), EncodeConfig(top_k=POPULAR))
+    return out.dictionary.select("id", "term", "class_id")
+
+
+def pipeline_triples(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.encode_graph(graph(spark, d), EncodeConfig(top_k=POPULAR)).triples
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -399,6 +637,9 @@ QUERIES = {
         schema_domains, schema_ranges, class_closure, direct_subclass, taxonomy_tree, taxonomy_postorder, taxonomy_text, term_class_candidates, term_min_class, class_id_ranges, id_to_class,
         class_frequency, mining_transactions, frequent_classes, frequent_pairs, frequent_patterns, sibling_order_by_patterns, cm_estimate, mg_candidates, approx_distinct,
         approx_distinct_by_property, merged_distinct_sketches, sampled_top_terms, prefix_split, hash_partition, range_boundaries, range_partition, external_sort, dbj2_hash, string_predicates,
-        common_prefix, leading_zeros, varint_length, path_parts,
+        common_prefix, leading_zeros, varint_length, path_parts, dict_text_roundtrip, triples_text_roundtrip, permutations_written, sorted_runs_written, taxonomy_text_roundtrip, graph_dot,
+        ntriples_gzip, ntriples_bzip2, input_files, input_splits, sketch_widths, cms_top_terms, mg_recall, approx_distinct_checked, distinct_sketches_checked, dict_hash_murmur, murmur_32, murmur_known,
+        byte_hashes, array_hash, bit_positions, integer_codecs, integer_codecs_roundtrip, short_iris, schema_roots, taxonomy_check, class_instances, term_neighbour_class, range_spread,
+        pipeline_dictionary, pipeline_triples,
     )
 }

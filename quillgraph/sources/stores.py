@@ -47,8 +47,8 @@ def read_taxonomy_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def write_permutations(encoded: DataFrame, path: str, signature: int = 63, rows_per_file: int = 50_000_000) -> None:
-    """Each order of the signature in a folder ``perm=...``, its files sorted within."""
-    rows = permutations(encoded, signature).repartition("perm", F.pmod(F.xxhash64("c0", "c1"), F.lit(64)))
+    """Each order of the signature in a folder ``perm=...``, its files sorted within and of disjoint ranges: also a pair that holds most triples is spread."""
+    rows = permutations(encoded, signature).repartitionByRange("perm", "c0", "c1", "c2")
     sorted_rows = rows.sortWithinPartitions("perm", "c0", "c1", "c2")
     sorted_rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("perm").parquet(path)
 

@@ -267,7 +267,7 @@ def test_murmur(spark):
     df = spark.createDataFrame([("hello",), (None,), ("é",)], "t string")
     got = [r[0] for r in df.select(murmur.murmur3_56_column(F.col("t"))).collect()]
     assert got == [murmur.murmur3_56(b"hello"), None, murmur.murmur3_56("é".encode())] and 0 <= got[0] < 1 << 56
-    pair = spark.createDataFrame([([1, 2],), ([2, 1],), (None,), ([],)], "a array<long>").select(murmur.hash_array(F.col("a"))).collect()
+    pair = spark.createDataFrame([([1, 2],), ([2, 1],), (None,), ([],)], "a array<long>").select(hashes.hash_array(F.col("a"))).collect()
     assert pair[0] != pair[1] and pair[2][0] is None and pair[3][0] == 0
 
 
@@ -291,7 +291,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (src / "b.nt").write_text("<skip> <b> <c> .\n")
     assert {r.s for r in nt.read_ntriples(spark, str(src), "a").collect()} == {"<a>", "<z>"}
     assert nt.read_ntriples(spark, str(src)).count() == 4
-    plan = splits.plan_splits(str(src), 2)
+    plan = splits.plan_splits([(str(f), f.stat().st_size) for f in splits.list_inputs(str(src))], 2)
     assert sum(p.size for x in plan for p in x) == sum(f.stat().st_size for f in src.iterdir()) and not splits.is_splittable("x.GZ")
     assert splits.input_stats(spark, str(src)).where("compressed").count() == 1
     words = spark.createDataFrame([(1, "<a b>"), (2, '"é x"@en')], "id long, term string")
@@ -362,6 +362,104 @@ def test_pipeline_encodes_and_writes(spark, tmp_path):
     cleanup(spark)
 
 
+def test_pipeline_with_patterns_and_with_hash_ids(spark, tmp_path):
+    from quillgraph import pipeline
+    from quillgraph.functions import murmur
+    from quillgraph.session import cleanup
+
+    typ, sub = schema.TYPE, schema.SUBCLASS
+    rows = [(f"<C{k}>", sub, "<Top>") for k in range(4)]
+    rows += [(f"<t{i}>", typ, f"<C{c}>") for i in range(4) for c in (0, 3)] + [("<u>", typ, "<C1>"), ("<t1>", "<p>", "<v>"), ("<w>", "<p>", "<u>")]
+    df = spark.createDataFrame(rows, "s string, p string, o string")
+    plain = pipeline.encode_graph(df, EncodeConfig(top_k=1))
+    mined = pipeline.encode_graph(df, EncodeConfig(top_k=1, mine_patterns=True, min_support=2, max_pattern_length=2))
+    order = lambda x: [r["class"] for r in x.taxonomy.orderBy("assigned_id").collect() if r.parent == "<Top>"]
+    assert order(plain) == ["<C0>", "<C1>", "<C2>", "<C3>"] and order(mined) == ["<C0>", "<C3>", "<C1>", "<C2>"]
+    assert {(tuple(r["items"]), r.freq) for r in mined.patterns.collect()} == {(("<C0>",), 4), (("<C3>",), 4), (("<C0>", "<C3>"), 4)} and plain.patterns is None
+    assert mined.stats.first().n_occurrences == 3 * len(rows)
+    src = tmp_path / "in.nt"
+    src.write_text("".join(f"{s} {p} {o} .\n" for s, p, o in rows))
+    pipeline.run(spark, str(src), str(tmp_path / "out"), EncodeConfig(hash_ids=True, permutations=1))
+    ids = {r.term: r.id for r in spark.read.parquet(str(tmp_path / "out" / "dictionary")).collect()}
+    assert ids == {t: murmur.murmur3_56(t.encode()) for r in rows for t in r}
+    got = spark.read.parquet(str(tmp_path / "out" / "permutations")).select("c0", "c1", "c2").collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(ids[x] for x in r) for r in rows)
+    cleanup(spark)
+
+
+def test_neighbour_classes_and_roots(spark):
+    rows = [("<a>", schema.TYPE, "<A>"), ("<b>", schema.TYPE, "<B>"), ("<a>", "<p>", "<x>"), ("<x>", "<q>", "<b>"), ("<y>", "<p>", "<z>")]
+    best = spark.createDataFrame([("<a>", 3), ("<b>", 1)], "term string, class_id long")
+    got = schema.neighbour_class(spark.createDataFrame(rows, "s string, p string, o string"), best)
+    assert {(r.term, r.class_id2) for r in got.collect()} == {("<x>", 1)}
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), ("d", "e"), ("x", "y"), ("y", "x")], "sub string, sup string")
+    assert {r["class"] for r in schema.roots(edges).collect()} == {"c", "e"}
+    assert schema.roots(edges.limit(0)).count() == 0
+
+
+def test_count_min_top_keeps_ties_and_threshold(spark):
+    occ = spark.createDataFrame([(x,) for x in ["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d", None]], "term string").repartition(3)
+    counters = sketches.count_min(occ, 1 << 12)
+    assert [tuple(r) for r in sketches.count_min_top(occ, counters, 1 << 12, 2).collect()] == [("a", 5), ("b", 3)]
+    assert [r.term for r in sketches.count_min_top(occ, counters, 1 << 12, 9, 3).collect()] == ["a", "b", "c"]
+    assert sketches.count_min_top(occ.limit(0), counters.limit(0), 1 << 12, 2).count() == 0
+    assert (sketches.counters_for_input(10, 100), sketches.counters_for_input(10**12, 5), sketches.counters_for_input(10**6, 5, compressed=True)) == (100, 1957341, 10_000)
+
+
+def test_lookup_with_hot_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "FEW", 10)
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(90)] + [(5, "hot")] * 20, "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k6", 3), ("other", 4)], "k string, v long")
+    value = {"hot": 1, "k0": 2, "k6": 3}
+    for n in (None, 110):
+        got = sorted(map(tuple, hierarchy.lookup(left, right, "k", n).collect()), key=str)
+        assert got == sorted(((r.i, r.k, value.get(r.k)) for r in left.collect()), key=str)
+    assert hierarchy.hot_keys(left, "k") and hierarchy.lookup(left.limit(0), right, "k").count() == 0
+
+
+def test_parts_of_nulls_and_many_bounds(spark):
+    bounds = spark.createDataFrame([(i, f"{i:03d}") for i in range(0, 100)], "part int, bound string")
+    rows = spark.createDataFrame([("000",), ("0005",), ("099",), ("zzz",), ("",), (None,)], "v string")
+    assert {r.v: r.part for r in partition.assign(rows, "v", bounds).collect()} == {"000": 0, "0005": 1, "099": 99, "zzz": 100, "": 0, None: 0}
+    assert {r.part for r in partition.assign(rows, "v", bounds.limit(0)).collect()} == {0}
+    assert partition.spread(rows, "v", bounds).count() == 6
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from quillgraph import session
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_codecs_and_hashes_of_columns(spark):
+    from quillgraph.functions import murmur
+
+    r = random.Random(1)
+    xs = [0, 31, 32, 127, 128, 2**31, 2**56 - 1, 2**61 - 1, 2**61, 2**63 - 1, -1, None] + [r.getrandbits(r.randint(1, 61)) for _ in range(20)]
+    x = F.col("x")
+    rows = spark.createDataFrame([(v,) for v in xs], "x long").select(
+        "x", codecs.varint_column(x).alias("v"), codecs.varint_column(x, big=True).alias("b"), codecs.fixed_column(x, 8, little=True).alias("f"), codecs.fixed_column(x, 2).alias("s"), codecs.sized_column(x).alias("z"),
+        codecs.headed_column(x, F.lit(1)).alias("h"), codecs.varint_value(codecs.varint_column(x, big=True), big=True).alias("bv"), codecs.fixed_value(codecs.fixed_column(x, 8, little=True), little=True).alias("fv"),
+    )
+    for o in rows.collect():
+        if o.x is None or o.x < 0:
+            assert o.v is o.b is o.f is o.s is o.z is o.h is None
+            continue
+        assert (bytes(o.v), bytes(o.b), bytes(o.f), bytes(o.h)) == (codecs.encode_varint(o.x), codecs.encode_varint(o.x, big=True), codecs.encode_fixed(o.x, 8, little=True), codecs.encode_headed(o.x, 1))
+        assert (o.bv, o.fv) == (o.x, o.x) and (o.s is None) == (o.x >= 1 << 16) and (o.z is None) == (o.x >= 1 << 61)
+    import pyarrow as pa
+
+    texts = pa.array(["", "a", "é" * 40, "x" * 15, "y" * 16, "z" * 17, "w" * 5000, None, *["".join(r.choice("abcdé漢") for _ in range(r.randint(0, 70))) for _ in range(100)]]).slice(1)
+    low, high = murmur.murmur3_128_all(texts)
+    for t, a, b, c, d in zip(texts.to_pylist(), low, high, murmur.murmur3_32_all(texts), murmur.murmur3_56_all(texts)):
+        if t is not None:
+            assert (int(a), int(b)) == murmur.murmur3_128(t.encode()) and int(c) == murmur.murmur3_32(t.encode()) and int(d) == murmur.murmur3_56(t.encode())
+
+
 def test_queries_and_sql_have_the_same_names():
     import __spark_entry__ as entry
 

@@ -31,6 +31,11 @@ def p6_rejected(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected(table(spark, d, "ntriples_lines"), ["file_id", "line_no"])
 
 
+def p6_rejected_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The rejected lines, and whether each has a reason."""
+    return p6_rejected(spark, d).select("file_id", "line_no", "line", (F.length("reason") > 0).alias("has_reason"))
+
+
 def p6_valid_triples(spark: SparkSession, d: str) -> DataFrame:
     return badrows.accepted(table(spark, d, "ntriples_lines"), ["file_id", "line_no"])
 
@@ -65,7 +70,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants, p7_whole_hierarchy, p7_descendants)
+    f.__name__: f for f in (p5_found, p5_term_results, p6_found, p6_rejected, p6_rejected_lines, p6_valid_triples, p7_found, p7_hierarchy, p7_top_descendants, p7_whole_hierarchy, p7_descendants)
 }
 
 _NODES = """
@@ -96,6 +101,7 @@ SELECT pos, term FROM ({_PAIRS}) WHERE term IS NOT NULL GROUP BY 1, 2 HAVING cou
 SELECT pos, term, count(*) AS n_rows, count(DISTINCT s) AS n_s, min(seen_at) AS first_seen, max(seen_at) AS last_seen
 FROM ({_PAIRS}) WHERE term IS NOT NULL GROUP BY 1, 2""",
     "p6_found": f"WITH {_PARSED} SELECT DISTINCT file_id, line_no FROM cases WHERE NOT valid",
+    "p6_rejected_lines": f"WITH {_PARSED} SELECT file_id, line_no, min(line) AS line, TRUE AS has_reason FROM cases WHERE NOT valid GROUP BY 1, 2",
     "p6_valid_triples": f"WITH {_PARSED} SELECT DISTINCT file_id, line_no, s, p, o FROM cases WHERE valid",
     "p7_hierarchy": f"""
 WITH RECURSIVE {_NODES},

@@ -14,6 +14,8 @@ SUBCLASS = "<http://www.w3.org/2000/01/rdf-schema#subClassOf>"
 DOMAIN = "<http://www.w3.org/2000/01/rdf-schema#domain>"
 RANGE = "<http://www.w3.org/2000/01/rdf-schema#range>"
 CLASS = "<http://www.w3.org/2000/01/rdf-schema#Class>"
+#: The predicates of the statements that a schema is made of.
+VOCABULARY = (TYPE, SUBCLASS, DOMAIN, RANGE)
 
 
 def explicit_classes(triples: DataFrame) -> DataFrame:

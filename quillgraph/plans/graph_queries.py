@@ -42,12 +42,17 @@ def _class(c: str):
     return F.concat(F.lit(f"<{_NS}/class/C"), F.col(c).cast("string"), F.lit(">"))
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
-    """(s, p, o): statements and schema."""
+def graph(spark: SparkSession, d: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
+    """(s, p, o): statements (with ``predicates`` only those of them) and schema."""
     links = table(spark, d, "class_nodes").where(F.col("node_key").isNotNull() & F.col("parent_key").isNotNull())
     tbox = links.select(_class("node_key").alias("s"), F.lit(sch.SUBCLASS).alias("p"), _class("parent_key").alias("o")).distinct()
     literal = spark.createDataFrame(TBOX, "s string, p string, o string")
-    return statements(spark, d).select("s", "p", "o").unionByName(tbox).unionByName(literal)
+    return statements(spark, d, predicates).select("s", "p", "o").unionByName(tbox).unionByName(literal)
+
+
+def _schema(spark: SparkSession, d: str) -> DataFrame:
+    """The statements that a schema is made of: the others aren't read beyond their predicate. Written once."""
+    return materialize(graph(spark, d, sch.VOCABULARY))
 
 
 def _occ(spark, d):
@@ -222,35 +227,35 @@ def xsd_string_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_classes(spark: SparkSession, d: str) -> DataFrame:
-    return sch.explicit_classes(graph(spark, d))
+    return sch.explicit_classes(graph(spark, d, sch.VOCABULARY))
 
 
 def schema_subclass_edges(spark: SparkSession, d: str) -> DataFrame:
-    return sch.subclass_edges(_graph(spark, d))
+    return sch.subclass_edges(_schema(spark, d))
 
 
 def schema_domains(spark: SparkSession, d: str) -> DataFrame:
-    return sch.domains(graph(spark, d))
+    return sch.domains(graph(spark, d, sch.VOCABULARY))
 
 
 def schema_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return sch.ranges(graph(spark, d))
+    return sch.ranges(graph(spark, d, sch.VOCABULARY))
 
 
 def class_closure(spark: SparkSession, d: str) -> DataFrame:
-    return sch.closure(sch.stated_edges(graph(spark, d)))
+    return sch.closure(sch.stated_edges(graph(spark, d, sch.VOCABULARY)))
 
 
 def direct_subclass(spark: SparkSession, d: str) -> DataFrame:
-    return sch.direct_edges(materialize(sch.subclass_edges(_graph(spark, d))))
+    return sch.direct_edges(materialize(sch.subclass_edges(_schema(spark, d))))
 
 
 def taxonomy_tree(spark: SparkSession, d: str) -> DataFrame:
-    return sch.tree(materialize(sch.subclass_edges(_graph(spark, d))))
+    return sch.tree(materialize(sch.subclass_edges(_schema(spark, d))))
 
 
 def taxonomy_postorder(spark: SparkSession, d: str) -> DataFrame:
-    return _taxonomy(_graph(spark, d))
+    return _taxonomy(_schema(spark, d))
 
 
 def taxonomy_text(spark: SparkSession, d: str) -> DataFrame:
@@ -431,7 +436,7 @@ def sorted_runs_written(spark: SparkSession, d: str) -> DataFrame:
 
 def taxonomy_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     at = _written(spark)
-    stores.write_taxonomy_text(sch.taxonomy_lines(_taxonomy(_graph(spark, d))), at)
+    stores.write_taxonomy_text(sch.taxonomy_lines(_taxonomy(_schema(spark, d))), at)
     ids, parents = stores.read_taxonomy_text(spark, at)
     return ids.join(parents, "class")
 
@@ -439,7 +444,7 @@ def taxonomy_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def graph_dot(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the class tree as a DOT graph."""
     at = _written(spark)
-    stores.write_graph_dot(_taxonomy(_graph(spark, d)), at)
+    stores.write_graph_dot(_taxonomy(_schema(spark, d)), at)
     return spark.read.text(at).withColumnRenamed("value", "line")
 
 
@@ -593,16 +598,16 @@ def short_iris(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_roots(spark: SparkSession, d: str) -> DataFrame:
-    return sch.roots(sch.stated_edges(graph(spark, d)))
+    return sch.roots(sch.stated_edges(graph(spark, d, sch.VOCABULARY)))
 
 
 def taxonomy_check(spark: SparkSession, d: str) -> DataFrame:
-    g = _graph(spark, d)
+    g = _schema(spark, d)
     return sch.check_taxonomy(sch.subclass_edges(g), _taxonomy(g))
 
 
 def class_instances(spark: SparkSession, d: str) -> DataFrame:
-    return sch.instances(graph(spark, d))
+    return sch.instances(graph(spark, d, sch.VOCABULARY))
 
 
 def term_neighbour_class(spark: SparkSession, d: str) -> DataFrame:

@@ -81,16 +81,17 @@ def popular_ids(popular: DataFrame, start: int = 0, *, ties_descending: bool = F
     return popular.select((F.row_number().over(w) - 1 + F.lit(start)).cast("long").alias("id"), "term")
 
 
-def lexicographic(terms: DataFrame, start: int = 0) -> DataFrame:
-    """(id, term): the distinct terms in bytewise order."""
-    return dense_ids(terms.select("term").distinct(), ["term"], "id", start).select("id", "term")
+def lexicographic(terms: DataFrame, start: int = 0, *, unique: bool = False) -> DataFrame:
+    """(id, term): the distinct terms in bytewise order; ``unique`` says that each stands there once."""
+    own = terms.select("term") if unique else terms.select("term").distinct()
+    return dense_ids(own, ["term"], "id", start).select("id", "term")
 
 
 def popular_first(freq: DataFrame, k: int, start: int = 0, *, ties_descending: bool = True) -> DataFrame:
     """(id, term): the k most frequent terms by frequency, then all others in bytewise order."""
     head = materialize(popular_ids(top_terms(freq, k, ties_descending=ties_descending), start, ties_descending=ties_descending))
     n = head.count()
-    return head.unionByName(lexicographic(tail_terms(freq, head), start + n))
+    return head.unionByName(lexicographic(tail_terms(freq, head), start + n, unique=True))
 
 
 def class_clustered(freq: DataFrame, term_class: DataFrame, k: int, start: int = 0) -> DataFrame:

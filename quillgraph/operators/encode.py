@@ -7,37 +7,43 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.hashes import md5_56
 from quillgraph.operators.dictionary import explode_terms, hashed
-from quillgraph.operators.hierarchy import lookup
+from quillgraph.operators.hierarchy import HOT, lookup
 
 # The orders of the six permutations; the position is the bit in a signature.
 PERMUTATIONS = ("spo", "ops", "pos", "sop", "osp", "pso")
 
 
-def encode(triples: DataFrame, dictionary: DataFrame, *, ignore_predicates: bool = False) -> DataFrame:
+def _by_triple(coded: DataFrame) -> DataFrame:
+    at = lambda i: F.max(F.when(F.col("pos") == i, F.col("id")))
+    return coded.groupBy("triple_id").agg(at(0).alias("s"), at(1).alias("p"), at(2).alias("o"))
+
+
+def encode(triples: DataFrame, dictionary: DataFrame, *, ignore_predicates: bool = False, freq: DataFrame | None = None) -> DataFrame:
     """(triple_id, s, p, o) with ids from ``dictionary`` (id, term); a term not in it gives null.
 
-    The terms of all positions go through one join. Frequent terms are found by counting and meet broadcast rows of
-    the dictionary; all others are joined by a shuffle. With ``ignore_predicates`` p is 0.
+    The terms of all positions go through one join. Terms that hold at least HOT of the occurrences meet broadcast rows of
+    the dictionary; all others are joined by a shuffle. Which these are is read from ``freq`` (term, freq), a table, or else
+    counted. With ``ignore_predicates`` p is 0.
     """
-    occ = explode_terms(triples, ignore_predicates=ignore_predicates)
-    coded = lookup(occ, dictionary.select("term", "id"), "term")
-    at = lambda i: F.max(F.when(F.col("pos") == i, F.col("id")))
-    out = coded.groupBy("triple_id").agg(at(0).alias("s"), at(1).alias("p"), at(2).alias("o"))
+    if freq is not None:
+        n = freq.agg(F.sum("freq")).first()[0] or 0
+        hot = freq.where(F.col("freq") >= max(1, int(n * HOT))).select("term")  # at most 1/HOT rows
+        out = encode_hybrid(triples, dictionary.join(F.broadcast(hot), "term", "left_semi"), dictionary, ignore_predicates=ignore_predicates)
+    else:
+        out = _by_triple(lookup(explode_terms(triples, ignore_predicates=ignore_predicates), dictionary.select("term", "id"), "term"))
     return out.withColumn("p", F.lit(0).cast("long")) if ignore_predicates else out
 
 
-def encode_hybrid(triples: DataFrame, popular: DataFrame, tail: DataFrame) -> DataFrame:
-    """The same with a given set of popular terms (at most k rows, a parameter), which is broadcast."""
-    occ = explode_terms(triples)
+def encode_hybrid(triples: DataFrame, popular: DataFrame, tail: DataFrame, *, ignore_predicates: bool = False) -> DataFrame:
+    """The same with a given set of popular terms (at most k rows, a parameter), which is broadcast; ``tail`` has all others."""
+    occ = explode_terms(triples, ignore_predicates=ignore_predicates)
     hot = popular.select(F.col("term").alias("_h"), F.col("id").alias("_hid"))
     out = occ.join(F.broadcast(hot), F.col("term") == F.col("_h"), "left")
     # Popular rows get keys that match nothing and are spread evenly, so the shuffle join never sees a hot term.
     salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("triple_id"), F.lit(4096)).cast("string"))
     out = out.withColumn("_j", F.when(F.col("_hid").isNull(), F.col("term")).otherwise(salt))
     rest = tail.select(F.col("term").alias("_t"), F.col("id").alias("_tid"))
-    out = out.join(rest, F.col("_j") == F.col("_t"), "left").withColumn("id", F.coalesce("_hid", "_tid"))
-    at = lambda i: F.max(F.when(F.col("pos") == i, F.col("id")))
-    return out.groupBy("triple_id").agg(at(0).alias("s"), at(1).alias("p"), at(2).alias("o"))
+    return _by_triple(out.join(rest, F.col("_j") == F.col("_t"), "left").withColumn("id", F.coalesce("_hid", "_tid")))
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -140,9 +140,10 @@ def dict_class_clustered(spark: SparkSession, d: str) -> DataFrame:
     return _clustered(spark, d, g, _taxonomy(g))
 
 
-def _encoded(spark, d):
-    t = materialize(statements(spark, d))
-    return enc.encode(t, materialize(dic.lexicographic(dic.explode_terms(t))))
+def _encoded(spark, d, t=None):
+    t = materialize(statements(spark, d)) if t is None else t
+    freq = materialize(dic.term_frequency(dic.explode_terms(t)))
+    return enc.encode(t, materialize(dic.lexicographic(freq, unique=True)), freq=freq)
 
 
 def encode_spo(spark: SparkSession, d: str) -> DataFrame:
@@ -156,14 +157,14 @@ def encode_all(spark: SparkSession, d: str) -> DataFrame:
 
 def encode_no_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = materialize(statements(spark, d))
-    words = materialize(dic.lexicographic(dic.explode_terms(t, ignore_predicates=True), start=1))
-    return enc.encode(t, words, ignore_predicates=True)
+    freq = materialize(dic.term_frequency(dic.explode_terms(t, ignore_predicates=True)))
+    return enc.encode(t, materialize(dic.lexicographic(freq, start=1, unique=True)), ignore_predicates=True, freq=freq)
 
 
 def encode_hybrid_join(spark: SparkSession, d: str) -> DataFrame:
     freq = materialize(_freq(spark, d))
     head = materialize(dic.popular_ids(dic.top_terms(freq, POPULAR, ties_descending=True), ties_descending=True))
-    tail = materialize(dic.lexicographic(dic.tail_terms(freq, head), head.count()))
+    tail = materialize(dic.lexicographic(dic.tail_terms(freq, head), head.count(), unique=True))
     return enc.encode_hybrid(statements(spark, d), head, tail)
 
 

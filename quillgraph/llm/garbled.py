@@ -48,7 +48,7 @@ _SEQUENCES = re.compile(
 )
 _RUN = regex.compile(r"[^\x00-\x7f]+")
 
-# Ranges of characters that texts are commonly written in.
+# Ranges of characters that texts are commonly written in.
 _COMMON = (
     (0xA0, 0x17F), (0x300, 0x36F), (0xFB00, 0xFB06), (0x2C6, 0x2DD), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x590, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x20A0, 0x214F),
     (0x2150, 0x23FF), (0x2460, 0x27BF), (0x3000, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xFE0E, 0xFE0F), (0xFF01, 0xFF5E), (0x1F000, 0x1FAFF),

@@ -231,4 +231,16 @@ ORACLE = {
         x AS (SELECT term, (SELECT count(*) FROM b WHERE bound < term) AS part FROM terms) SELECT CAST(part AS INTEGER) AS part, count(*) AS n, min(term) AS first_term FROM x GROUP BY 1""",
     "pipeline_dictionary": f"WITH RECURSIVE {_RUN} SELECT * FROM clustered",
     "pipeline_triples": f"""WITH RECURSIVE {_RUN} SELECT DISTINCT a.id AS s, b.id AS p, c.id AS o FROM g JOIN clustered a ON g.s = a.term JOIN clustered b ON g.p = b.term JOIN clustered c ON g.o = c.term""",
+    "sibling_order_by_patterns": f"""WITH RECURSIVE {_TAX},
+        pairs AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS freq FROM items a JOIN items b ON a.term = b.term AND a.item < b.item GROUP BY 1, 2 HAVING count(*) > 5),
+        both_ways AS (SELECT item_a AS class, item_b AS other, freq FROM pairs UNION ALL SELECT item_b, item_a, freq FROM pairs),
+        bonds AS (SELECT x.parent, b.class, b.other, b.freq FROM both_ways b JOIN tree x ON x.class = b.class JOIN tree y ON y.class = b.other WHERE x.parent = y.parent),
+        sib AS (SELECT DISTINCT parent, class FROM bonds),
+        chain(parent, done, last) AS (
+          SELECT parent, [min(class)], min(class) FROM sib GROUP BY 1
+          UNION ALL SELECT parent, list_append(done, pick), pick FROM (
+            SELECT c.parent, c.done, coalesce((SELECT arg_min(b.other, lpad(CAST(1000000000 - b.freq AS VARCHAR), 12, '0') || b.other) FROM bonds b WHERE b.class = c.last AND NOT list_contains(c.done, b.other)),
+              (SELECT min(s.class) FROM sib s WHERE s.parent = c.parent AND NOT list_contains(c.done, s.class))) AS pick FROM chain c) WHERE pick IS NOT NULL),
+        whole AS (SELECT parent, arg_max(done, len(done)) AS done FROM chain GROUP BY 1)
+        SELECT parent, unnest(done) AS class, CAST(generate_subscripts(done, 1) - 1 AS INTEGER) AS position FROM whole""",
 }
